@@ -1,4 +1,16 @@
-"""Quality rules, language ID, near-duplicate removal and packing, one after another over ``documents``."""
+"""Quality rules, language ID, near-duplicate removal and packing, one after another over ``documents``.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. The first three return rows
+of ``docs`` unchanged, all columns; the last one returns the packing plan, a row for each document that is left.
+
+* ``quality_rules`` drops what the calibrated classifier, trained on the labelled rows, rejects (probability under 0.5).
+* ``language_id`` drops texts without a known main language, or whose main language has under 0.3 of the words.
+* ``near_duplicates`` keeps one document of each group.
+* ``packing`` gives each document its length bucket and token-budget batch.
+
+Rows: null and empty texts go in the first stage; rows with a null id are judged by their text; an empty table stays
+empty. SQL can't express the stages (ORACLE_SQL is None); tests hold the run against a brute-force version.
+"""
 
 from __future__ import annotations
 
@@ -7,14 +19,35 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from loomnote import session
+from loomnote.llm import langid, packing, quality, simhash
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    session.ship(spark)
+    return quality.filter_quality(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    session.ship(spark)
+    return langid.filter_language(docs, langid.train(docs))
 
-STAGES: list = []
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    session.ship(spark)
+    return simhash.drop_duplicates(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    session.ship(spark)
+    return packing.pack(docs)
+
+
+STAGES = [("quality_rules", quality_rules), ("language_id", language_id), ("near_duplicates", near_duplicates), ("packing", pack)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each one's rows are written as Parquet and read again by the next."""
-    session.ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{session.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
