@@ -64,7 +64,8 @@ def count_tokens(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_
                 rest = np.flatnonzero(~hit)
                 count = hit.astype(np.int64)
                 if len(rest):
-                    count[rest] = cache.count[cache.slots(data, starts[rest], ends[rest], h[rest])]
+                    slots = cache.slots(data, starts[rest], ends[rest], h[rest])
+                    count[rest] = cache.count[slots]
                 at = np.searchsorted(starts, offsets)
                 for k, x in enumerate((count, hit)):
                     n[k, i:j] = np.diff(np.concatenate([[0], np.cumsum(x, dtype=np.int64)])[at])
