@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_OWN: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -39,19 +40,20 @@ def shared_folder(spark: SparkSession) -> str:
     Where it is unset and the master is local, a temporary folder is made; on a cluster that is an error,
     because a machine-local folder would be lost with its machine.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="loomnote-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="loomnote-shared-")
+    return _OWN[app]
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and return it without its lineage (a reliable checkpoint)."""
     spark = df.sparkSession
-    folder = shared_folder(spark)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(folder)
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
