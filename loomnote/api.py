@@ -16,6 +16,10 @@ from loomnote.operators import graph, lifecycle, notes, search
 from loomnote.sources import vault
 
 
+VECTORS = schemas.struct("sha256 string, embedding_model string, chunking_version string, vector array<float>")
+EMBED_ROUND = 100_000  # sections
+
+
 def _where(root: str | None, index: str | None) -> tuple[Path, str]:
     base = Path(root).resolve() if root else vault.find_root()
     return base, index or str(base / ".obsidian" / "note_index")
@@ -33,18 +37,21 @@ def build_index(spark: SparkSession, root: str | None = None, index: str | None
     parsed = store.write(run, "parsed", notes.parse_files(vault.read_notes(spark, base)))
     note_rows = store.write(run, "notes", notes.notes(parsed).select(*schemas.NOTES.names))
     fresh = notes.sections(parsed)
-    known = store.log("vectors", "sha256 string, embedding_model string, chunking_version string, vector array<float>")
+    known = store.log("vectors", VECTORS)
     old = store.table("sections", schemas.SECTIONS) if store.exists() else spark.createDataFrame([], schemas.SECTIONS)
     cached = old.select("id", "sha256", "embedding_model", "chunking_version", "vector").unionByName(known.withColumn("id", F.lit(None).cast("string")), allowMissingColumns=True)
     joined = store.write(run, "joined", lifecycle.reuse(fresh, cached, schemas.MODEL, schemas.CHUNKING))
     made = 0
     if embedder and not skip_embeddings:
         todo = joined.where("vector is null")
-        vectors = search.embed(todo, embedder, schemas.DIMENSIONS).select("sha256", F.lit(schemas.MODEL).alias("embedding_model"), F.lit(schemas.CHUNKING).alias("chunking_version"), "vector")
-        store.append("vectors", vectors)
-        got = store.log("vectors", vectors.schema).where((F.col("embedding_model") == schemas.MODEL) & (F.col("chunking_version") == schemas.CHUNKING))
-        got = got.groupBy("sha256").agg(F.any_value("vector").alias("made"))
         made = todo.count()
+        rounds = max(1, -(-made // EMBED_ROUND))
+        for k in range(rounds):  # each round's vectors are kept, whatever happens to the next
+            part = todo.where(F.pmod(F.xxhash64("id"), F.lit(rounds)) == k)
+            vectors = search.embed(part, embedder, schemas.DIMENSIONS).select("sha256", F.lit(schemas.MODEL).alias("embedding_model"), F.lit(schemas.CHUNKING).alias("chunking_version"), "vector")
+            store.append("vectors", vectors)
+        got = store.log("vectors", VECTORS).where((F.col("embedding_model") == schemas.MODEL) & (F.col("chunking_version") == schemas.CHUNKING))
+        got = got.groupBy("sha256").agg(F.any_value("vector").alias("made"))
         complete = joined.join(got, "sha256", "left").withColumn("vector", F.coalesce("vector", "made"))
     else:
         complete = joined

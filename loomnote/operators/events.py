@@ -96,7 +96,7 @@ def calls(body: DataFrame) -> DataFrame:
     seconds = F.coalesce(F.col("call.durationSeconds"), F.lit(0.0))
     rows = body.withColumns({"_s": moment("start"), "_e": moment("end"), "duration": seconds})
     absent = {"_s": F.coalesce(F.col("call.start"), F.lit("")) == "", "_e": F.coalesce(F.col("call.end"), F.lit("")) == ""}
-    span = F.expr("make_dt_interval(0, 0, 0, cast(duration as decimal(18, 6)))")
+    span = F.expr("make_dt_interval(0, 0, 0, try_cast(duration as decimal(18, 6)))")
     start = F.when(absent["_s"] & (F.col("duration") > 0), F.col("_e") - span).otherwise(F.col("_s"))
     end = F.when(absent["_e"] & (F.col("duration") > 0), F.col("_s") + span).otherwise(F.col("_e"))
     rows = rows.withColumn("start", start).withColumn("end", end)

@@ -86,6 +86,10 @@ class Store:
     def append(self, name: str, rows: DataFrame) -> None:
         rows.write.mode("append").parquet(f"{self.folder}/{name}")
 
+    def meta(self) -> DataFrame:
+        """(key, value) of the current snapshot."""
+        return self.spark.createDataFrame([(k, str(v)) for k, v in (self.current() or {}).items()], schemas.META)
+
     def new_run(self) -> str:
         return uuid.uuid4().hex
 
@@ -99,10 +103,10 @@ class Store:
         out = self._fs.create(temp, True)
         out.write(bytearray(json.dumps({"run": run, "schema_version": schemas.SCHEMA_VERSION, **more}).encode()))
         out.close()
-        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(temp.toUri(), self.spark._jsc.hadoopConfiguration()) if self._fs.getUri().getScheme() else None
-        option = self.spark._jvm.org.apache.hadoop.fs.Options
-        overwrite = self.spark.sparkContext._gateway.new_array(getattr(option, "Rename"), 1)
-        overwrite[0] = getattr(option, "Rename").OVERWRITE
+        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(temp.makeQualified(self._fs.getUri(), self._fs.getWorkingDirectory()).toUri(), self.spark._jsc.hadoopConfiguration())
+        rename = getattr(self.spark._jvm.org.apache.hadoop.fs.Options, "Rename")
+        overwrite = self.spark.sparkContext._gateway.new_array(rename, 1)
+        overwrite[0] = rename.OVERWRITE
         context.rename(temp, final, overwrite)
 
     def prune(self, keep: str) -> None:

@@ -74,3 +74,8 @@ def split_sections(lines: DataFrame, doc: str, n: str, line: str, is_heading) ->
     own = Window.partitionBy(doc).orderBy(n)
     heads = lines.withColumn("head", is_heading(F.col(line)).cast("int")).withColumn("section", F.sum("head").over(own))
     return heads.groupBy(doc, "section").agg(F.min(n).alias("first"), F.max(n).alias("last"))
+
+
+def read_section(sections: DataFrame, path: str, heading: str) -> DataFrame:
+    """The chunks of a note's section, in order; both filters reach the scan."""
+    return sections.where((F.col("path") == path) & (F.col("heading") == heading)).orderBy("start_line", "chunk_index")

@@ -48,7 +48,7 @@ def bm25(index: DataFrame, stats: DataFrame, phrases: list[list[str]]) -> DataFr
     found = index.where(F.col("term").isin(terms))
     hits = _phrase_hits(found, phrases)
     n = hits.groupBy("phrase").agg(F.count("*").alias("n"))
-    total = F.broadcast(stats.select("docs", (F.col("tokens") / F.col("docs")).alias("mean")))  # one row
+    total = F.broadcast(stats.select("docs", F.try_divide("tokens", "docs").alias("mean")))  # one row
     return weigh(hits.join(F.broadcast(n), "phrase").crossJoin(total))  # n: a row for each phrase
 
 

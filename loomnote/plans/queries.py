@@ -366,7 +366,7 @@ def link_weights(spark, d):
 
 @query(f"with {_LINK} select date_trunc('hour', ts)::timestamp as hour, count(*) as events, count(distinct source) as sources from le group by 1 having count(*) >= 5 and count(distinct source) >= 3")
 def link_churn(spark, d):
-    return events.churn(_link_events(spark, d).withColumn("hour", F.date_trunc("hour", "ts")), "hour", "source", 5, 3)
+    return events.churn(_link_events(spark, d).withColumn("hour", F.date_trunc("hour", "ts").cast("timestamp_ntz")), "hour", "source", 5, 3)
 
 
 @query("""with r as (select *, coalesce((lag(event_type) over w <> event_type)::int, 1) as new from events window w as (partition by user_id order by event_id)),
@@ -380,7 +380,7 @@ def distinct_messages(spark, d):
     return table(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "text").dropDuplicates()
 
 
-@query("select conv_id, turn, count(*) over (partition by conv_id) - row_number() over (partition by conv_id order by turn) as remaining_turns, round(length(text) * (1.25 + 0.1 * (count(*) over (partition by conv_id) - row_number() over (partition by conv_id order by turn))), 4) as cost from conversations")
+@query("select conv_id, turn, count(*) over (partition by conv_id) - row_number() over (partition by conv_id order by turn) as remaining_turns, round(length(text) * (1.25::double + 0.1::double * (count(*) over (partition by conv_id) - row_number() over (partition by conv_id order by turn))), 4) as cost from conversations")
 def effective_token_cost(spark, d):
     rows = events.effective_cost(table(spark, d, "conversations"), "conv_id", "turn", F.length("text"))
     return rows.select("conv_id", "turn", "remaining_turns", F.round("cost", 4).alias("cost"))
@@ -397,6 +397,24 @@ def latest_n(spark, d):
     return events.latest(table(spark, d, "events"), "ts", "event_id", 20).select("event_id", "ts", "event_type")
 
 
+@query("select event_id, ts, event_type from events where event_type = 'signup' order by ts, event_id limit 10")
+def first_n(spark, d):
+    """The next ten of a calendar."""
+    return table(spark, d, "events").where("event_type = 'signup'").orderBy("ts", "event_id").limit(10).select("event_id", "ts", "event_type")
+
+
+@query("select vec_id, label from embeddings where embedding is not null and label = 1 and len(embedding) = 64")
+def valid_vectors(spark, d):
+    """Vectors of one model version that have the right length; the filters but the last reach the scan."""
+    return table(spark, d, "embeddings").where(F.col("embedding").isNotNull() & (F.col("label") == 1) & (F.size("embedding") == 64)).select("vec_id", "label")
+
+
+@query("select conv_id, turn, text from conversations where role = 'assistant' and contains(text, 'ñ')")
+def provenance(spark, d):
+    """All turns of one role that mention something."""
+    return table(spark, d, "conversations").where("role = 'assistant' and contains(text, 'ñ')").select("conv_id", "turn", "text")
+
+
 @query("with c as (select user_id, event_id, ts from events where event_type = 'click'), v as (select user_id, ts as since, event_id as rev from events where event_type = 'view') select c.user_id, c.event_id, c.ts, v.rev from c asof left join v on c.user_id = v.user_id and c.ts >= v.since")
 def as_of_link(spark, d):
     """Each click with the user's last view at the time."""
@@ -422,7 +440,8 @@ def call_interval_fill(spark, d):
         F.when(k.isin(0, 2), F.date_format("ts", form)).alias("start"), F.when(k.isin(0, 1), F.date_format(F.col("ts") + F.expr("interval 90 seconds"), form)).alias("end"),
         F.floor("value").cast("double").alias("durationSeconds"), none.alias("direction"), none.alias("source"),
     )
-    return events.calls(e.select("event_id", call.alias("call")))
+    rows = events.calls(e.select("event_id", call.alias("call")))
+    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 
 @query("select user_id, count(*) as views from events where event_type = 'view' group by user_id order by views desc, user_id limit 20")
@@ -481,7 +500,7 @@ def anti_links(spark, d):
 
 @query("select date_trunc('day', ts)::timestamp as period, part, count(*) as rows, min(event_id) as first, max(event_id) as last from (select *, ceil(row_number() over (partition by date_trunc('day', ts) order by event_id) / 40)::bigint as part from events) group by all")
 def period_rollup(spark, d):
-    return events.rollup(table(spark, d, "events"), "day", "ts", "event_id")
+    return events.rollup(table(spark, d, "events"), "day", "ts", "event_id").withColumn("period", F.col("period").cast("timestamp_ntz"))
 
 
 @query("select c_custkey from customer where c_custkey not in (select user_id from events where event_type = 'view') and c_custkey not in (select o_custkey from orders)")

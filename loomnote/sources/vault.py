@@ -69,6 +69,12 @@ def table_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
     return schemas.evolve(df, schema)
 
 
+def latest_files(spark: SparkSession, path: str, n: int, pattern: str = "*.jsonl") -> DataFrame:
+    """(path, modificationTime, length) of the files that changed last; contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    return files.select("path", "modificationTime", "length").orderBy(F.col("modificationTime").desc(), "path").limit(n)
+
+
 def git_log(spark: SparkSession, path: str) -> DataFrame:
     """(file, n, line) of ``git log -p`` output; one task a file, in the file's order (a log is a sequence)."""
 

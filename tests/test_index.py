@@ -42,15 +42,16 @@ def test_build_search_links(spark, tmp_path, capsys):
     assert api.search_index(spark, "!!", root, index) == []
     stats = api.print_stats(spark, root, index)
     assert (stats["notes"], stats["sections"], stats["text_rows"], stats["title_rows"], stats["edges"], stats["vectors"], stats["status"]) == (2, 9, 9, 2, 1, 0, "metadata-only")
-    assert [r["path"] for r in api.check_duplicate(spark, "Beta", root, index)] == ["folder/beta.md"]
+    assert [r["path"] for r in api.check_duplicate(spark, "Beta", root, index)] == ["folder/beta.md", "alpha.md"]  # by title, then by text
 
 
-def test_vectors_are_reused(spark, tmp_path):
+def test_vectors_are_reused(spark, tmp_path, monkeypatch):
     root = _vault(tmp_path)
     index = str(tmp_path / "index")
-    calls = []
+    monkeypatch.setattr(api, "EMBED_ROUND", 4)
     first = api.build_index(spark, root, index, embedder=embedder)
     assert first["vectors"] == 9
+    assert {r.key: r.value for r in lifecycle.Store(spark, index).meta().collect()}["schema_version"] == "2"
     hits = api.search_index(spark, "linked destination", root, index, embedder=embedder)
     assert hits[0]["path"] == "folder/beta.md" and hits[0]["vec_rank"] == 1 and hits[0]["score"] == pytest.approx(2 / 61)
     (tmp_path / "folder" / "beta.md").write_text("## Result\nAnother text.\n")
@@ -62,7 +63,6 @@ def test_vectors_are_reused(spark, tmp_path):
     (tmp_path / "alpha.md").unlink()
     assert api.build_index(spark, root, index, embedder=embedder)["vectors"] == 2
     assert api.semantic_search(spark, "another text", embedder, index, 1)[0][1] == "folder/beta.md"
-    assert not calls
 
 
 def test_no_index(spark, tmp_path):

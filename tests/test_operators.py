@@ -176,3 +176,14 @@ def test_streams(spark, tmp_path):
 def test_providers():
     assert search.providers(["CPUExecutionProvider", "CUDAExecutionProvider"]) == ["CUDAExecutionProvider", "CPUExecutionProvider"]
     assert search.providers([]) == ["CPUExecutionProvider"]
+
+
+def test_latest_files_and_read_section(spark, tmp_path):
+    import os
+
+    for i in range(4):
+        (tmp_path / f"{i}.jsonl").write_text("{}")
+        os.utime(tmp_path / f"{i}.jsonl", (1000 + i, 1000 + i))
+    assert [r.path[-7:] for r in vault.latest_files(spark, str(tmp_path), 2).collect()] == ["3.jsonl", "2.jsonl"]
+    rows = spark.createDataFrame([("a.md", "H", 3, 1, "y"), ("a.md", "H", 3, 0, "x"), ("b.md", "H", 1, 0, "z")], "path string, heading string, start_line int, chunk_index int, text string")
+    assert [r.text for r in notes.read_section(rows, "a.md", "H").collect()] == ["x", "y"]
