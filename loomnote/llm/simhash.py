@@ -3,22 +3,24 @@
 Fingerprint. The distinct folded words of a text vote on ``8 * BYTES`` bits (256): a bit is set where more than half
 of the words' hashes have it. Two texts with cosine c of their word sets differ in about ``acos(c) / pi`` of the bits.
 
-Index. Texts with one fingerprint are one node, so exact copies cost nothing more. A node is posted under
-``tables`` keys; each key is a fixed set of ``KEY_BYTES`` byte positions with the fingerprint's bytes there. Single
-bytes would give lists of a 256th of the corpus, whose pairs grow with its square; three positions at a time cut them
-by 2**24. Each list is one run of rows in a sorted partition and is worked off in numpy as it streams by:
-
-* tally: for each pair of a list, the positions at which the whole fingerprints share their byte;
-* filter: at least ``max(KEY_BYTES, BYTES - max_distance)`` of them, what any pair within the distance is sure to
-  share or, where the distance reaches BYTES and nothing is sure, what a list demands anyway;
+Index. Texts with one fingerprint are one node, so exact copies cost nothing more. Lists of single positional bytes
+would each hold a 256th of the corpus; so a node is posted under ``tables`` keys of two byte positions with their
+bytes, and inside such a list nodes meet if they share a third byte too, at any of ``probes`` further positions that
+the table names. One posting thus serves ``probes`` keys of 24 bits. Lists stream through numpy, sorted by key:
+
+* tally: for each pair that meets, the positions at which the whole fingerprints share their byte;
+* filter: at least ``max(3, BYTES - max_distance)`` of them: what any pair within the distance is sure to share or,
+  where the distance reaches BYTES and nothing is sure, what a meeting demands anyway;
 * verify: a Hamming distance of ``max_distance`` at most.
 
 A list gives a forest that connects what its verified pairs connect, not the pairs, so a list of m nodes gives fewer
 than m edges; none is capped. Groups are the connected components of all edges. A pair can only be missed if it meets
-in no list: with 64 tables a pair at 12 % of the bits meets in 95 % of cases and one at 19 % in 34 %; the texts of a
+in no list: with 20 tables of 16 probes a pair that differs in 12 % of its bits meets in 94 % of cases; the texts of a
 group are found through each other as well (recall against brute force is tested).
 
-At 100 TB take ``key_bytes=4`` and more tables, so that chance meetings stay few; postings then grow by that factor.
+Postings are ``tables`` rows of 40 bytes for each distinct fingerprint, and the pairs that meet by chance a
+1 / 2**24 of all for each key; beyond about 10**9 texts take more probes' worth of bytes: raise ``deeper`` to 2, which
+asks for two shared bytes at neighbouring probes instead of one.
 
 Rows: a null text, or one without words, has no fingerprint and is never a duplicate. Repeated rows (one id, one
 text) are duplicates of each other; ids may be null. The first by (id, hash of the text) stays for its group.
@@ -40,21 +42,19 @@ from loomnote.llm import spans
 
 BYTES = 32
 MAX_DISTANCE = 48
-TABLES = 64
-KEY_BYTES = 3
+TABLES = 20
+PROBES = 16
+DEEPER = 1
 _SALTS = np.random.default_rng(5).integers(1, 1 << 63, BYTES // 8, dtype=np.uint64)
 
 
-def positions(tables: int = TABLES, key_bytes: int = KEY_BYTES) -> np.ndarray:
-    """The byte positions of each key: random sets that use every position about equally often."""
-    rng, out, bag = np.random.default_rng(11), [], []
+def positions(tables: int = TABLES, probes: int = PROBES) -> np.ndarray:
+    """(tables, 2 + probes) byte positions: a key's two, then its probes. Every position is used about equally often."""
+    rng, out = np.random.default_rng(11), []
     while len(out) < tables:
-        if len(bag) < key_bytes:
-            bag += rng.permutation(BYTES).tolist()
-        pick = sorted(set(bag[:key_bytes]))
-        bag = bag[key_bytes:]
-        if len(pick) == key_bytes and pick not in out:
-            out.append(pick)
+        for pair in rng.permutation(BYTES).reshape(-1, 2)[: tables - len(out)]:
+            rest = np.setdiff1d(np.arange(BYTES), pair)
+            out.append(np.concatenate([np.sort(pair), rng.permutation(rest)[:probes]]))
     return np.array(out)
 
 
@@ -106,30 +106,47 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(data, np.uint8, BYTES * len(column), start).reshape(-1, BYTES) if len(column) else np.zeros((0, BYTES), np.uint8)
 
 
-def link(key: np.ndarray, fp: np.ndarray, max_distance: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows sorted by key: the edges (a, b) of a forest over the verified pairs within runs of one key."""
-    n = len(key)
-    if n < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    wide = np.ascontiguousarray(fp).view(np.uint64)
-    end = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, n)
+def link(key: np.ndarray, fp: np.ndarray, where: np.ndarray, max_distance: int = MAX_DISTANCE, deeper: int = DEEPER) -> tuple[np.ndarray, np.ndarray]:
+    """Rows sorted by key (table << 16 | two bytes): the edges (a, b) of a forest over the verified pairs of its lists."""
+    n, label = len(key), np.arange(len(key))
+    least = max(2 + deeper, BYTES - max_distance)
+    if n > 1:  # rows that are alone in their list meet nobody
+        same = key[1:] == key[:-1]
+        near = np.zeros(n, dtype=bool)
+        near[1:] |= same
+        near[:-1] |= same
+        rows = np.flatnonzero(near)
+        part, table = fp[rows], (key[rows] >> 16).astype(np.int64)
+        for j in range(where.shape[1] - 2):
+            sub = key[rows]
+            for k in range(deeper):
+                sub = sub << 8 | part[np.arange(len(rows)), where[table, 2 + (j + k) % (where.shape[1] - 2)]]
+            order = np.argsort(sub, kind="stable")
+            _meet(sub[order], rows[order], fp, label, max_distance, least)
+    b = np.flatnonzero(label != np.arange(n))
+    return label[b], b
+
+
+def _meet(sub: np.ndarray, rows: np.ndarray, fp: np.ndarray, label: np.ndarray, max_distance: int, least: int) -> None:
+    """Verify all pairs of each run of ``sub`` and join their components in ``label``."""
+    if not len(sub):
+        return
+    end = np.append(np.flatnonzero(sub[1:] != sub[:-1]) + 1, len(sub))
     stop = np.repeat(end, np.diff(np.concatenate([[0], end])))
-    label, alive, d = np.arange(n), np.arange(n), 1
-    while True:
-        alive = alive[alive + d < stop[alive]]
-        if not len(alive):
-            break
+    wide = np.ascontiguousarray(fp).view(np.uint64)
+    alive, d = np.flatnonzero(np.arange(len(sub)) + 1 < stop), 1
+    while len(alive):
         for k in range(0, len(alive), 1 << 18):
-            a = alive[k : k + (1 << 18)]
-            x = wide[a] ^ wide[a + d]
+            at = alive[k : k + (1 << 18)]
+            a, b = rows[at], rows[at + d]
+            x = wide[a] ^ wide[b]
             ok = np.bitwise_count(x).sum(axis=1, dtype=np.int32) <= max_distance
-            a, x = a[ok], x[ok]
-            if len(a):
-                a = a[(x.view(np.uint8) == 0).sum(axis=1) >= least]
-                _hook(label, a, a + d)
+            if ok.any():
+                a, b, x = a[ok], b[ok], np.ascontiguousarray(x[ok])
+                ok = (x.view(np.uint8) == 0).sum(axis=1) >= least
+                _hook(label, a[ok], b[ok])
         d += 1
-    b = np.flatnonzero(label != np.arange(n))
-    return label[b], b
+        alive = alive[alive + d < stop[alive]]
 
 
 def _hook(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -148,53 +165,47 @@ def _hook(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
-def _postings(nodes: DataFrame, tables: int, key_bytes: int) -> DataFrame:
-    where = positions(tables, key_bytes)
-    schema = "key long, fp binary"
+def _postings(nodes: DataFrame, where: np.ndarray) -> DataFrame:
+    tables = len(where)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = _matrix(batch.column(0))
-            for k in range(0, len(fp), 4096):
-                part = fp[k : k + 4096]
-                key = np.zeros((len(part), tables), dtype=np.int64)
-                for j in range(key_bytes):
-                    key = key << 8 | part[:, where[:, j]]
-                key |= np.arange(tables, dtype=np.int64) << (8 * key_bytes)
+            for k in range(0, len(fp), 8192):
+                part = fp[k : k + 8192]
+                key = part[:, where[:, 0]].astype(np.int64) << 8 | part[:, where[:, 1]] | np.arange(tables, dtype=np.int64) << 16
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), _binary(np.repeat(part, tables, axis=0))], names=["key", "fp"])
 
-    return nodes.mapInArrow(run, schema)
+    return nodes.mapInArrow(run, "key long, fp binary")
 
 
-def edges(nodes: DataFrame, max_distance: int = MAX_DISTANCE, tables: int = TABLES, key_bytes: int = KEY_BYTES) -> DataFrame:
+def edges(nodes: DataFrame, max_distance: int = MAX_DISTANCE, tables: int = TABLES, probes: int = PROBES, deeper: int = DEEPER) -> DataFrame:
     """(a, b) with a < b: links that connect the fingerprints of ``nodes`` (fp binary, distinct) as verified pairs do."""
-    least = max(key_bytes, BYTES - max_distance)
+    where = positions(tables, probes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep_key, keep_fp = np.zeros(0, np.int64), np.zeros((0, BYTES), np.uint8)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def out(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            a, b = link(key, fp, max_distance, least)
-            x, y = fp[a], fp[b]
-            return pa.RecordBatch.from_arrays([_binary(x), _binary(y)], names=["a", "b"])
+        def out() -> pa.RecordBatch:
+            key, fp = np.concatenate([k for k, _ in held]), np.concatenate([f for _, f in held])
+            a, b = link(key, fp, where, max_distance, deeper)
+            return pa.RecordBatch.from_arrays([_binary(fp[a]), _binary(fp[b])], names=["a", "b"])
 
-        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:  # rows come sorted by key; the last key's rows wait for the next batch
             key, fp = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1))
             if not len(key):
                 continue
-            if held and key[-1] == held[0][0][0]:
-                held.append((key, fp.copy()))
-                continue
             cut = int(np.searchsorted(key, key[-1]))
-            keep_key = np.concatenate([*(k for k, _ in held), key[:cut]])
-            keep_fp = np.concatenate([*(f for _, f in held), fp[:cut]])
+            if held and cut == 0 and key[0] == held[0][0][-1]:
+                held.append((key.copy(), fp.copy()))
+                continue
+            held.append((key[:cut], fp[:cut]))
+            yield out()
             held = [(key[cut:].copy(), fp[cut:].copy())]
-            yield out(keep_key, keep_fp)
         if held:
-            yield out(np.concatenate([k for k, _ in held]), np.concatenate([f for _, f in held]))
+            yield out()
 
-    posted = _postings(nodes.select("fp"), tables, key_bytes).repartition("key").sortWithinPartitions("key")
+    posted = _postings(nodes.select("fp"), where).repartition("key").sortWithinPartitions("key")
     found = posted.mapInArrow(run, "a binary, b binary")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
