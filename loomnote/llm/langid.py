@@ -11,8 +11,8 @@ for each block and each language before it, the best score of every language aft
 joins those, and a last pass traces each block from the language that is then known at its end. The result is that
 of the plain sequence, whatever the text's length.
 
-Training counts trigrams in at most ``SAMPLE`` texts of each label, the first by a hash of the text (a documented
-bound). Rows whose label is null are left out; without any labelled text only scripts decide.
+Training counts trigrams in at most ``SAMPLE`` texts of each label, of at most ``LONGEST`` characters, the first by a
+hash of the text (documented bounds; every text is labelled, whatever its length). Rows whose label is null are left out; without any labelled text only scripts decide.
 
 Rows: a null or empty text, or one without words, has null language, share 0 and no spans; one with digits only is ``und``. Ties go to the language
 that is first by name. Only the id, text and label columns are read; ``filter_language`` keeps all columns.
@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 from loomnote.llm import spans
 
 SAMPLE = 400
+LONGEST = 200_000
 SWITCH = 12.0
 BLOCK = 256
 BITS = 17
@@ -152,7 +153,7 @@ def fit(texts: list[str | None], labels: list[str]) -> Model:
 
 def train(docs: DataFrame, sample: int = SAMPLE, text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on at most ``sample`` texts of each label, the first by a hash of the text."""
-    rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and length(text) > 0")
+    rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.length("text").between(1, LONGEST))
     h = rows.select("lang", F.xxhash64("text").alias("h"))
     top = h.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("nth") <= sample)
     limit = top.groupBy("lang").agg(F.max("h").alias("most"))

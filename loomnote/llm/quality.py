@@ -5,7 +5,8 @@ character n-grams (2 to 4 bytes). A word is a run without white space, case and
 tells junk. A pair of two equal words is one bucket of its own, whatever the word. A score is the intercept plus, for
 each family, the mean weight of its grams, so scoring needs no sparse vectors: one gather and one sum per family.
 
-Training uses at most ``SAMPLE`` labelled texts, the first by a hash of their id (a documented bound); 3 in 4 train
+Training uses at most ``SAMPLE`` labelled texts of at most ``LONGEST`` characters, the first by a hash of their id
+(documented bounds, so that the driver can hold them; every text is scored, whatever its length); 3 in 4 train
 (AdaGrad on the log loss, classes weighted alike), 1 in 4 calibrate (Platt scaling by Newton steps, with the label
 shares as they are). Scoring covers every text in Arrow batches and compares with the fixed threshold ``KEEP``.
 
@@ -29,6 +30,7 @@ from pyspark.sql import types as T
 from loomnote.llm import spans
 
 SAMPLE = 4000
+LONGEST = 200_000
 KEEP = 0.5
 BITS = 18
 FAMILIES = 3
@@ -176,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     """Fit on at most ``sample`` labelled texts, the first by a hash of their id."""
     some = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where("id is not null and y is not null")
     some = some.groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & (F.length("text") <= LONGEST))
     rows = texts.join(F.broadcast(some), "id").orderBy(F.xxhash64("id"), "id", "text").limit(sample)  # the broadcast side has at most `sample` rows
     rows = rows.collect()
     return fit([r.text for r in rows], [int(r.y > 0) for r in rows])
