@@ -135,11 +135,9 @@ def check_duplicate(spark: SparkSession, title: str, root: str | None = None, in
         titles = search.ranked(hits, [F.col("score"), F.col("id")], 5, "title_rank").select(F.col("id").alias("path"), "title_rank")
     found = [(r.path, r.raw_sim, k) for k, r in enumerate(_results(store, title, embedder, 10).collect(), 1)]
     rows = [r.asDict() for r in search.duplicate_candidates(titles, spark.createDataFrame(found, "path string, raw_sim double, rank int")).collect()]
-    for k, r in enumerate(rows, 1):
-        why = [] if r["title_rank"] is None else [f"title rank {r['title_rank']}"]
-        if r["raw_sim"] is not None:
-            why.append(f"cosine {r['raw_sim']:.3f}")
-        print(f"  {k}. {r['path']} ({', '.join(why)})")
+    for n, row in enumerate(rows):
+        why = [f"{label} {value:{form}}" for label, value, form in (("title rank", row["title_rank"], "d"), ("cosine", row["raw_sim"], ".3f")) if value is not None]
+        print(f"  {n + 1}. {row['path']}", *why, sep="; ")
     if not rows:
         print("No note is like it.")
     return rows
@@ -183,14 +181,11 @@ def print_stats(spark: SparkSession, root: str | None = None, index: str | None
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="loomnote", description="Index a folder of Markdown notes and search it.")
-    p.add_argument("--vault", help="folder of notes")
-    p.add_argument("--db", help="folder of the index")
-    p.add_argument("--skip-embeddings", action="store_true", help="no new vectors")
-    p.add_argument("--search", help="hybrid search")
-    p.add_argument("--check-duplicate", help="notes that may be about the same")
-    p.add_argument("--links", help="a note's links, both ways")
-    p.add_argument("--stats", action="store_true", help="counts and the last run")
-    p.add_argument("--limit", type=int, default=10, help="most search results")
+    for flag, what in (("vault", "folder of notes"), ("db", "folder of the index"), ("search", "hybrid search"), ("check-duplicate", "notes that may be about the same"), ("links", "a note's links, both ways")):
+        p.add_argument(f"--{flag}", help=what)
+    for flag, what in (("skip-embeddings", "no new vectors"), ("stats", "counts and the last run")):
+        p.add_argument(f"--{flag}", help=what, action=argparse.BooleanOptionalAction, default=False)
+    p.add_argument("--limit", help="most search results", default=10, type=int)
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("loomnote").getOrCreate()
     if a.stats:

@@ -8,10 +8,10 @@ from typing import NamedTuple
 
 BUDGET, OVERLAP = 360, 40
 _FENCE_END = re.compile(r"\n-{3}\s*(?:\n|\Z)")
-_NUMBER_ITEM = re.compile(r"\s*-\s*\d+\s*\n?")
-_TEXT_ITEM = re.compile(r"\s*-\s*[^\n]+\s*\n?")
+_DASH, _LINE_END = r"\s*-\s*", r"\s*\n?"
+_NUMBER_ITEM, _TEXT_ITEM = (re.compile(_DASH + what + _LINE_END) for what in (r"\d+", r"[^\n]+"))
 _LINK = re.compile(r"\[{2}([^\]]+)\]{2}")
-_PIECE = re.compile(r"\w+|[^\w\s]")
+_PIECE = re.compile(r"[^\w\s]|\w+")
 
 
 class Front(NamedTuple):
@@ -98,16 +98,22 @@ def links(content: str) -> list[tuple[str, int]]:
     return out
 
 
-def sections(stem: str, body: str, line: int) -> list[tuple[str, int, str]]:
+class Part(NamedTuple):
+    heading: str
+    line: int
+    text: str
+
+
+def sections(stem: str, body: str, line: int) -> list[Part]:
     """(heading, line, text) at each second-level heading; what comes before has the stem as its heading."""
     rows, out = body.splitlines(), []
     marks = [i for i, x in enumerate(rows) if x[:3] == "## "]
     lead = "\n".join(rows[: marks[0]] if marks else rows) if marks else body
     if lead := lead.strip():
-        out.append((stem, line, lead))
+        out.append(Part(stem, line, lead))
     for i, end in zip(marks, [*marks[1:], len(rows)]):
         heading = rows[i][3:].strip() or stem
-        out.append((heading, line + i, "\n".join(rows[i + 1 : end]).strip() or heading))
+        out.append(Part(heading, line + i, "\n".join(rows[i + 1 : end]).strip() or heading))
     return out
 
 

@@ -57,7 +57,7 @@ def link_target(raw: Column) -> Column:
 
 def fold_key(value: str) -> str:
     """A note's key: forward slashes, no ``.md``, no leading slash, case folded."""
-    key = value.strip().replace("\\", "/")
+    key = value.replace("\\", "/").strip()
     if key[-3:].lower() == ".md":
         key = key[:-3]
     return key.lstrip("/").casefold()

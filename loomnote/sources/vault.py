@@ -13,7 +13,7 @@ from pyspark.sql.utils import AnalysisException
 
 from loomnote import schemas
 
-PRUNED = frozenset({".obsidian", ".git", ".trash", "node_modules", ".venv", "__pycache__"})
+PRUNED = frozenset("__pycache__ .git .obsidian .trash .venv node_modules".split())
 
 
 def find_root(start: str | os.PathLike | None = None) -> Path:

@@ -8,8 +8,10 @@ from loomnote.operators import lifecycle
 
 def _vault(folder):
     (folder / "folder").mkdir()
-    (folder / "alpha.md").write_text("---\ntags:\n  - test\n---\n\n## Planned\nA distinctivephrase appears here. [[folder/beta]]\n\n## Long\n" + " ".join(["word"] * 1000))
-    (folder / "folder" / "beta.md").write_text("## Result\nA linked destination.\n")
+    fence = "-" * 3
+    lines = [fence, "tags:", "  - test", fence, "", "## Planned", "A distinctivephrase appears here. [[folder/beta]]", "", "## Long", " ".join(["word"] * 1000)]
+    (folder / "alpha.md").write_text("\n".join(lines))
+    (folder / "folder" / "beta.md").write_text("\n".join(["## Result", "A linked destination.", ""]))
     return str(folder)
 
 
@@ -29,7 +31,9 @@ def test_build_search_links(spark, tmp_path, capsys):
     counts = api.build_index(spark, root, index, skip_embeddings=True)
     assert counts == {"notes": 2, "sections": 9, "links": 1, "vectors": 0, "errors": 0, "run_id": 1}
     store = lifecycle.Store(spark, index)
-    assert [tuple(r) for r in store.table("edges").collect()] == [("alpha.md", "folder/beta", "folder/beta.md", 7)]
+    edge = store.table("edges").collect()
+    assert len(edge) == 1 and edge[0].source_path == "alpha.md" and edge[0].raw_target == "folder/beta"
+    assert edge[0].resolved_target_path == "folder/beta.md" and edge[0].start_line == 7
     note = store.table("notes").where("path = 'alpha.md'").first()
     assert note.tags == ["test"] and note.category == "general" and note.summary_snippet == "## Planned\n## Long"
     hit = api.search_index(spark, "distinctivephrase", root, index)[0]
@@ -54,7 +58,7 @@ def test_vectors_are_reused(spark, tmp_path, monkeypatch):
     assert {r.key: r.value for r in lifecycle.Store(spark, index).meta().collect()}["schema_version"] == "2"
     hits = api.search_index(spark, "linked destination", root, index, embedder=embedder)
     assert hits[0]["path"] == "folder/beta.md" and hits[0]["vec_rank"] == 1 and hits[0]["score"] == pytest.approx(2 / 61)
-    (tmp_path / "folder" / "beta.md").write_text("## Result\nAnother text.\n")
+    (tmp_path / "folder/beta.md").write_text("\n".join(["## Result", "Another text."]))
     (tmp_path / "gamma.md").write_text("## Planned\nA distinctivephrase appears here. [[folder/beta]]\n")
     second = api.build_index(spark, root, index, skip_embeddings=True)
     assert second["notes"] == 3 and second["vectors"] == 9 and second["run_id"] == 2  # the changed one has none, the copy has

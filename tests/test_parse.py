@@ -14,7 +14,7 @@ def fm(inside, body="x"):
 
 def test_frontmatter():
     assert parse.front("plain").line == 1 and parse.front("plain").body == "plain"
-    f = parse.front("---\ntags:\n  - test\n---\n\n## A")
+    f = fm("tags:\n  - test", "\n## A")
     assert (f.tags, f.body, f.line) == (["test"], "## A", 6)
     assert parse.front("---\n---\ntext").body == "---\n---\ntext"
     assert parse.front("---\n---\na\n---\nb").body == "b"
