@@ -136,8 +136,6 @@ def rows_of(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.searchsorted(offsets, starts, side="right") - 1
 
 
-# ---- pre-tokens ---------------------------------------------------------------------------------
-
 _classes: np.ndarray | None = None
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 _WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
