@@ -74,8 +74,9 @@ def build_index(spark: SparkSession, root: str | None = None, index: str | None
     status = "metadata-only" if skip_embeddings or not embedder else "complete"
     store.append("index_errors", failed.select(F.lit(run_id).cast("long").alias("run_id"), "path", "stage", "message"))
     store.append("index_runs", spark.createDataFrame([(run_id, started, datetime.now(timezone.utc), str(base), status, n_notes, counts[0], counts[1], n_errors)], schemas.RUNS).coalesce(1))
+    last = (store.current() or {}).get("run", run)
     store.commit(run)
-    store.prune(run)
+    store.prune({run, last})
     print(f"{n_notes:,} notes, {counts[0]:,} sections, {n_links:,} links ({edge_rows.count():,} distinct).")
     print(f"Vectors: {kept.get('id', 0):,} as before, {kept.get('hash', 0):,} by hash, {made:,} new. Gone: {gone[0]:,} notes, {gone[1]:,} sections.")
     print(f"{status}, {n_errors} errors.")

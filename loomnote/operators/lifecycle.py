@@ -109,11 +109,11 @@ class Store:
         overwrite[0] = rename.OVERWRITE
         context.rename(temp, final, overwrite)
 
-    def prune(self, keep: str) -> None:
-        """Remove the snapshots that aren't current."""
+    def prune(self, keep: set[str]) -> None:
+        """Remove the snapshots that aren't among ``keep``: the current one, and the last, which may still be read."""
         root = self._path(f"{self.folder}/runs")
         for s in self._fs.listStatus(root):
-            if s.getPath().getName() != keep:
+            if s.getPath().getName() not in keep:
                 self._fs.delete(s.getPath(), True)
 
     def size(self) -> int:
