@@ -1,8 +1,8 @@
 """Media columns: binary payloads kept in ZIP archives, written and read in parallel.
 
 ``write_archives`` puts a binary or string column into archives, one for each task, under the shared folder. A task
-writes to a name of its own attempt and moves the finished file to the task's name, so attempts that are repeated or
-lost leave one whole archive.
+writes to a name of its own attempt and moves the finished file to the task's name, unless an attempt before it has
+done so; attempts that are repeated or lost leave one whole archive.
 
 ``ArchiveSource`` (format ``members``) reads folders of such archives. The driver only lists files and sizes and plans
 byte ranges of about ``split`` bytes; it opens none. A task reads the archive's own directory at its end (ZIP64 too)
@@ -220,7 +220,10 @@ def write_archives(rows: DataFrame, folder: str, id_col: str, payload_col: str,
         if archive is not None:
             archive.close()
             sink.close()
-            where.move(temp, f"{name}.zip")
+            if where.get_file_info(f"{name}.zip").type == pafs.FileType.NotFound:
+                where.move(temp, f"{name}.zip")
+            else:  # another attempt has finished with the same rows
+                where.delete_file(temp)
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
     return picked.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
