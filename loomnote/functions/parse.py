@@ -140,9 +140,9 @@ def windows(costs: list[int], start_cost: int) -> list[tuple[int, int]]:
     return out
 
 
-def chunk_texts(title: str, text: str) -> list[str]:
+def chunk_texts(title: str, content: str) -> list[str]:
     """Chunks of a section, each headed by its title."""
-    name, words = title.strip() or "Untitled", text.split()
+    name, words = title.strip() or "Untitled", content.split()
     flat = " ".join(words)
     if estimate(f"{name} {flat}") <= BUDGET:
         return [f"{name}\n{flat}"]
