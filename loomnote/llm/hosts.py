@@ -8,6 +8,7 @@ deviations, reaches ``LEAST``: what can't be shown to be bad stays. A host witho
 a new domain its suffix's.
 
 All is declarative: three aggregates, of hosts, domains and suffixes, and joins on those keys; sums are of integers.
+The counts by host are written once to the shared folder, as all levels start from them.
 
 Rows: a url that is null or has no host has host, domain and suffix "" and is judged by the prior of all pages.
 Pages without label count nowhere but are judged; a page with several labels counts once, by its worst. Repeated
@@ -19,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomnote import session
+
 LEAST = 0.5
 Z = 1.645
 STRENGTH = (2.0, 1000.0)
@@ -59,7 +62,7 @@ def reputation(pages: DataFrame, labels: DataFrame, least: float = LEAST, z: flo
     seen = seen.groupBy("id").agg(F.min("good").alias("good"))
     rows = pages.select(F.col(id_col).alias("id"), *parts(F.col(url_col)))
     counted = rows.join(seen, "id", "left")
-    host = counted.groupBy("suffix", "domain", "host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("k"))
+    host = session.cut(counted.groupBy("suffix", "domain", "host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("k")))
     domain = host.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffix = domain.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     top = suffix.agg(((F.coalesce(F.sum("k"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("m"))
