@@ -29,7 +29,6 @@ text) are duplicates of each other; ids may be null. The first by (id, hash of t
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -256,18 +255,17 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **search: int) -> DataFrame:
-    """The rows of ``docs``, all columns, without all but the first of each group."""
+    """The rows of ``docs``, all columns, without all but the first of each group.
+
+    The list of rows to go grows with the corpus, so it is never broadcast: one merge join by two hashes of id and text
+    brings it to the rows, which are shuffled once, and a window over the same keys lets one of repeated rows stay.
+    """
     grouped = session.cut(_grouped(docs, id_col, text_col, **search))
-    keys = grouped.groupBy("gid", "id", "th").agg(F.count("*").alias("rows"))
-    keys = keys.join(_first(grouped), "gid").select("id", "th", "rows", F.struct("id", "th").eqNullSafe(F.col("first")).alias("stays"))
-    out = keys.where("not stays").select("id", "th")
-    again = keys.where("stays and rows > 1").select("id", "th")
-
-    def match(k: DataFrame):
-        return docs[id_col].eqNullSafe(k["id"]) & (F.xxhash64(docs[text_col]) == k["th"])
-
-    kept = reduce(lambda d, k: d.join(k, match(k), "left_anti"), (out, again), docs)
-    nth = "nth" + "_" * max(len(c) for c in docs.columns)
-    once = docs.join(again, match(again), "left_semi")
-    once = once.withColumn(nth, F.row_number().over(Window.partitionBy(docs[id_col], F.xxhash64(docs[text_col])).orderBy(F.lit(1)))).where(F.col(nth) == 1).drop(nth)
-    return kept.unionByName(once)
+    keys = grouped.groupBy("gid", "id", "th").agg(F.count("*").alias("rows")).join(_first(grouped), "gid")
+    wide = "_" * max(map(len, docs.columns))
+    key, th, stays, nth = (name + wide for name in ("key", "th", "stays", "nth"))
+    marked = keys.select(F.xxhash64("id", "th").alias(key), F.col("th").alias(th), F.struct("id", "th").eqNullSafe(F.col("first")).alias(stays))
+    rows = docs.withColumn(th, F.xxhash64(docs[text_col])).withColumn(key, F.xxhash64(docs[id_col], F.col(th)))
+    rows = rows.join(marked.hint("merge"), [key, th], "left")
+    rows = rows.withColumn(nth, F.row_number().over(Window.partitionBy(key, th).orderBy(key)))
+    return rows.where(F.col(stays).isNull() | (F.col(stays) & (F.col(nth) == 1))).select(*docs.columns)
