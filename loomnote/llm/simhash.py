@@ -3,24 +3,23 @@
 Fingerprint. The distinct folded words of a text vote on ``8 * BYTES`` bits (256): a bit is set where more than half
 of the words' hashes have it. Two texts with cosine c of their word sets differ in about ``acos(c) / pi`` of the bits.
 
-Index. Texts with one fingerprint are one node, so exact copies cost nothing more. Lists of single positional bytes
-would each hold a 256th of the corpus; so a node is posted under ``tables`` keys of two byte positions with their
-bytes, and inside such a list nodes meet if they share a third byte too, at any of ``probes`` further positions that
-the table names. One posting thus serves ``probes`` keys of 24 bits. Lists stream through numpy, sorted by key:
+Index. Texts with one fingerprint are one node, so exact copies cost nothing more. A node is posted once for each byte
+position but the last two, under that position and its byte there; inside such a list nodes meet if they share two more
+bytes, at any two later positions. So any two nodes that share three bytes meet, in the list of the first of them. Lists
+stream through numpy, sorted by key, and each pair of positions is one sort of packed integers:
 
-* tally: for each pair that meets, the positions at which the whole fingerprints share their byte;
-* filter: at least ``max(3, BYTES - max_distance)`` of them: what any pair within the distance is sure to share or,
-  where the distance reaches BYTES and nothing is sure, what a meeting demands anyway;
-* verify: a Hamming distance of ``max_distance`` at most.
+* verify: a Hamming distance of ``max_distance`` at most, for pairs that nothing connects so far;
+* filter: at least ``max(3, BYTES - max_distance)`` shared bytes: what any pair within the distance is sure to have or,
+  where the distance reaches BYTES - 2 and less is sure, what a meeting demands anyway.
 
 A list gives a forest that connects what its verified pairs connect, not the pairs, so a list of m nodes gives fewer
-than m edges; none is capped. Groups are the connected components of all edges. A pair can only be missed if it meets
-in no list: with 20 tables of 16 probes a pair that differs in 12 % of its bits meets in 94 % of cases; the texts of a
-group are found through each other as well (recall against brute force is tested).
+than m edges; none is capped. Groups are the connected components of all edges. A pair can only be missed if it shares
+fewer than three bytes: none up to 29 bits, under 1 % of those at 45 to 48 bits (measured on random texts); the texts
+of a group are found through each other as well (recall against brute force is tested, by band of distance).
 
-Postings are ``tables`` rows of 40 bytes for each distinct fingerprint, and the pairs that meet by chance a
-1 / 2**24 of all for each key; beyond about 10**9 texts take more probes' worth of bytes: raise ``deeper`` to 2, which
-asks for two shared bytes at neighbouring probes instead of one.
+Postings are ``BYTES - 2`` rows of 40 bytes for each distinct fingerprint, a list holds about a 256th of the nodes, and
+the pairs that meet by chance are a 1 / 2**24 of all for each of the 4960 position triples, so that verifying grows with
+the square of the corpus beyond some 10**8 texts.
 
 Rows: a null text, or one without words, has no fingerprint and is never a duplicate. Repeated rows (one id, one
 text) are duplicates of each other; ids may be null. The first by (id, hash of the text) stays for its group.
@@ -41,20 +40,14 @@ from loomnote.llm import spans
 
 BYTES = 32
 MAX_DISTANCE = 48
-TABLES = 20
-PROBES = 16
-DEEPER = 1
+SHARED = 3
+PAIRS = 1 << 18
 _SALTS = np.random.default_rng(5).integers(1, 1 << 63, BYTES // 8, dtype=np.uint64)
 
 
-def positions(tables: int = TABLES, probes: int = PROBES) -> np.ndarray:
-    """(tables, 2 + probes) byte positions: a key's two, then its probes. Every position is used about equally often."""
-    rng, out = np.random.default_rng(11), []
-    while len(out) < tables:
-        for pair in rng.permutation(BYTES).reshape(-1, 2)[: tables - len(out)]:
-            rest = np.setdiff1d(np.arange(BYTES), pair)
-            out.append(np.concatenate([np.sort(pair), rng.permutation(rest)[:probes]]))
-    return np.array(out)
+def positions() -> list[np.ndarray]:
+    """The later byte positions, for each that has two of them: where nodes that share its byte may meet."""
+    return [np.arange(i + 1, BYTES) for i in range(BYTES - SHARED + 1)]
 
 
 def fingerprints(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -105,47 +98,77 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(data, np.uint8, BYTES * len(column), start).reshape(-1, BYTES) if len(column) else np.zeros((0, BYTES), np.uint8)
 
 
-def link(key: np.ndarray, fp: np.ndarray, where: np.ndarray, max_distance: int = MAX_DISTANCE, deeper: int = DEEPER) -> tuple[np.ndarray, np.ndarray]:
-    """Rows sorted by key (table << 16 | two bytes): the edges (a, b) of a forest over the verified pairs of its lists."""
+def link(key: np.ndarray, fp: np.ndarray, where: list[np.ndarray] | np.ndarray, max_distance: int = MAX_DISTANCE) -> tuple[np.ndarray, np.ndarray]:
+    """Rows sorted by key (table << 16 | what a list shares): the edges (a, b) of a forest over the verified pairs of its lists.
+
+    Rows of a list meet if they share two of the bytes at ``where[table]``.
+    """
     n, label = len(key), np.arange(len(key))
-    least = max(2 + deeper, BYTES - max_distance)
     if n > 1:  # rows that are alone in their list meet nobody
-        same = key[1:] == key[:-1]
-        near = np.zeros(n, dtype=bool)
-        near[1:] |= same
-        near[:-1] |= same
-        rows = np.flatnonzero(near)
-        part, table = fp[rows], (key[rows] >> 16).astype(np.int64)
-        for j in range(where.shape[1] - 2):
-            sub = key[rows]
-            for k in range(deeper):
-                sub = sub << 8 | part[np.arange(len(rows)), where[table, 2 + (j + k) % (where.shape[1] - 2)]]
-            order = np.argsort(sub, kind="stable")
-            _meet(sub[order], rows[order], fp, label, max_distance, least)
+        rows = _runs(key)
+        table = key[rows] >> 16
+        for t in np.unique(table).tolist():
+            _probe(rows[table == t], key, fp, where[t], label, max_distance)
     b = np.flatnonzero(label != np.arange(n))
     return label[b], b
 
 
-def _meet(sub: np.ndarray, rows: np.ndarray, fp: np.ndarray, label: np.ndarray, max_distance: int, least: int) -> None:
-    """Verify all pairs of each run of ``sub`` and join their components in ``label``."""
-    if not len(sub):
-        return
-    end = np.append(np.flatnonzero(sub[1:] != sub[:-1]) + 1, len(sub))
-    stop = np.repeat(end, np.diff(np.concatenate([[0], end])))
+def _runs(values: np.ndarray) -> np.ndarray:
+    """The places in sorted ``values`` whose value another place has too."""
+    same = np.concatenate([[False], values[1:] == values[:-1], [False]])
+    return np.flatnonzero(same[1:] | same[:-1])
+
+
+def _probe(rows: np.ndarray, key: np.ndarray, fp: np.ndarray, where: np.ndarray, label: np.ndarray, max_distance: int) -> None:
+    """Join in ``label`` what verified pairs connect, among ``rows`` of one table, for each pair of positions of ``where``."""
+    part, low = np.ascontiguousarray(fp[rows][:, where].T), len(rows).bit_length()
     wide = np.ascontiguousarray(fp).view(np.uint64)
-    alive, d = np.flatnonzero(np.arange(len(sub)) + 1 < stop), 1
-    while len(alive):
-        for k in range(0, len(alive), 1 << 18):
-            at = alive[k : k + (1 << 18)]
-            a, b = rows[at], rows[at + d]
-            x = wide[a] ^ wide[b]
-            ok = np.bitwise_count(x).sum(axis=1, dtype=np.int32) <= max_distance
-            if ok.any():
-                a, b, x = a[ok], b[ok], np.ascontiguousarray(x[ok])
-                ok = (x.view(np.uint8) == 0).sum(axis=1) >= least
-                _hook(label, a[ok], b[ok])
-        d += 1
-        alive = alive[alive + d < stop[alive]]
+    at = np.append(0, np.cumsum(key[rows][1:] != key[rows][:-1])) << 16 + low | np.arange(len(rows))  # list, two bytes, row
+    for j in range(len(where) - 1):
+        first = np.sort(at | part[j].astype(np.int64) << 8 + low)
+        first = first[_runs(first >> low)]
+        rest = part[j + 1 :, first & (1 << low) - 1]
+        for second in rest if len(first) else ():
+            both = second.astype(np.int64)
+            both <<= low
+            both |= first
+            both.sort()
+            if (both[1:] ^ both[:-1]).min() >> low == 0:
+                both = both[_runs(both >> low)]
+                _meet(both >> low, rows[both & (1 << low) - 1], wide, label, max_distance)
+
+
+def _meet(sub: np.ndarray, rows: np.ndarray, wide: np.ndarray, label: np.ndarray, max_distance: int) -> None:
+    """Verify the pairs of each run of ``sub`` whose components differ, and join those in ``label``."""
+    order = np.lexsort((label[rows], sub))
+    sub, rows = sub[order], rows[order]
+    cut = sub[1:] != sub[:-1]
+    stop = _ends(cut)
+    after = _ends(cut | (label[rows][1:] != label[rows][:-1]))  # a row is compared with those after its own component
+    count = stop - after
+    alive = np.flatnonzero(count)
+    total = np.append(0, np.cumsum(count[alive]))
+    k = 0
+    while k < len(alive):
+        to = max(k + 1, int(np.searchsorted(total, total[k] + PAIRS, side="right")) - 1)
+        some = count[alive[k:to]]
+        a = np.repeat(alive[k:to], some)
+        b = after[a] + np.arange(len(a)) - np.repeat(total[k:to] - total[k], some)
+        a, b, k = rows[a], rows[b], to
+        open_ = label[a] != label[b]
+        a, b = a[open_], b[open_]
+        x = wide[a] ^ wide[b]
+        ok = np.bitwise_count(x).sum(axis=1, dtype=np.int32) <= max_distance
+        if ok.any():
+            a, b, x = a[ok], b[ok], np.ascontiguousarray(x[ok])
+            ok = (x.view(np.uint8) == 0).sum(axis=1) >= max(SHARED, BYTES - max_distance)
+            _hook(label, a[ok], b[ok])
+
+
+def _ends(cut: np.ndarray) -> np.ndarray:
+    """For each place the end of its run; ``cut`` says where a place differs from the one before."""
+    end = np.append(np.flatnonzero(cut) + 1, len(cut) + 1)
+    return np.repeat(end, np.diff(np.append(0, end)))
 
 
 def _hook(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -164,30 +187,28 @@ def _hook(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
-def _postings(nodes: DataFrame, where: np.ndarray) -> DataFrame:
-    tables = len(where)
-
+def _postings(nodes: DataFrame, tables: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = _matrix(batch.column(0))
             for k in range(0, len(fp), 8192):
                 part = fp[k : k + 8192]
-                key = part[:, where[:, 0]].astype(np.int64) << 8 | part[:, where[:, 1]] | np.arange(tables, dtype=np.int64) << 16
+                key = part[:, :tables].astype(np.int64) | np.arange(tables, dtype=np.int64) << 16
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), _binary(np.repeat(part, tables, axis=0))], names=["key", "fp"])
 
     return nodes.mapInArrow(run, "key long, fp binary")
 
 
-def edges(nodes: DataFrame, max_distance: int = MAX_DISTANCE, tables: int = TABLES, probes: int = PROBES, deeper: int = DEEPER) -> DataFrame:
+def edges(nodes: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """(a, b) with a < b: links that connect the fingerprints of ``nodes`` (fp binary, distinct) as verified pairs do."""
-    where = positions(tables, probes)
+    where = positions()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def out() -> pa.RecordBatch:
             key, fp = np.concatenate([k for k, _ in held]), np.concatenate([f for _, f in held])
-            a, b = link(key, fp, where, max_distance, deeper)
+            a, b = link(key, fp, where, max_distance)
             return pa.RecordBatch.from_arrays([_binary(fp[a]), _binary(fp[b])], names=["a", "b"])
 
         for batch in batches:  # rows come sorted by key; the last key's rows wait for the next batch
@@ -204,7 +225,7 @@ def edges(nodes: DataFrame, max_distance: int = MAX_DISTANCE, tables: int = TABL
         if held:
             yield out()
 
-    posted = _postings(nodes.select("fp"), where).repartition("key").sortWithinPartitions("key")
+    posted = _postings(nodes.select("fp"), len(where)).repartition("key").sortWithinPartitions("key")
     found = posted.mapInArrow(run, "a binary, b binary")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 

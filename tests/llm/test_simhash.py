@@ -62,6 +62,25 @@ def test_against_brute_force(spark):
     assert len({g for i, g in enumerate(group) if i in kept}) == len(set(group))
 
 
+def test_isolated_pairs_by_distance(spark):
+    """Pairs that no third copy links, with 8 to 14 % of their words changed: recall in each band up to the distance."""
+    rng, texts = random.Random(4), []
+    for k in range(900):
+        base = [f"w{rng.randrange(10**7)}" for _ in range(rng.choice((60, 120, 200)))]
+        copy = list(base)
+        for i in rng.sample(range(len(base)), round(rng.uniform(0.08, 0.14) * len(base))):
+            copy[i] = "x" + copy[i]
+        texts += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+    fp, _ = simhash.fingerprints(pa.array([t for _, t in texts]))
+    distance = np.bitwise_count(fp[::2] ^ fp[1::2]).sum(axis=1)
+    found = {(r.doc_id, r.duplicate_of) for r in simhash.duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    met = np.array([(2 * k + 1, 2 * k) in found for k in range(len(distance))])
+    assert len(found) == met.sum() and (distance[met] <= simhash.MAX_DISTANCE).all()
+    for low, high, least in ((0, 31, 1.0), (32, 39, 0.99), (40, 44, 0.98), (45, 48, 0.96)):
+        band = (distance >= low) & (distance <= high)
+        assert band.sum() >= 40 and met[band].mean() >= least, (low, high, band.sum(), met[band].mean())
+
+
 def test_hot_list_of_near_copies():
     """Thousands of near copies in one list: all in one component, far fewer edges than pairs."""
     rng = np.random.default_rng(0)
