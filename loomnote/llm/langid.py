@@ -152,9 +152,9 @@ def fit(texts: list[str | None], labels: list[str]) -> Model:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on at most ``sample`` texts of each label, the first by a hash of the text."""
+    """Fit on at most ``sample`` different texts of each label, the first by a hash of the text."""
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.length("text").between(1, LONGEST))
-    h = rows.select("lang", F.xxhash64("text").alias("h"))
+    h = rows.select("lang", F.xxhash64("text").alias("h")).distinct()  # copies of a text count once
     top = h.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("nth") <= sample)
     limit = top.groupBy("lang").agg(F.max("h").alias("most"))
     found = rows.join(F.broadcast(limit), "lang").where(F.xxhash64("text") <= F.col("most")).dropDuplicates(["lang", "text"]).orderBy("lang", F.xxhash64("text")).collect()  # a row for each label is broadcast

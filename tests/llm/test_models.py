@@ -183,3 +183,13 @@ def test_language_held_out(spark):
     m = langid.train(docs, sample=50)
     rows = langid.detect(docs, m).join(docs.select("doc_id", "lang"), "doc_id").collect()
     assert np.mean([r.lang == r.lang_found for r in rows]) > 0.98
+
+
+def test_copies_take_no_place_in_the_training_sample(spark, monkeypatch):
+    texts = [f"the of and number {i}" for i in range(20)]
+    docs = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string")
+    first = docs.orderBy(langid.F.xxhash64("text")).first().text
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda t, x: seen.extend(t))
+    langid.train(docs.union(spark.createDataFrame([(first, "en")] * 300, docs.schema)), sample=10)
+    assert len(seen) == len(set(seen)) == 10
