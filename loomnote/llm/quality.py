@@ -2,18 +2,23 @@
 
 Features of a text are the means of three families over hashed buckets: single words, pairs of adjacent words and
 character n-grams (2 to 4 bytes). A word is a run without white space, case and marks kept, because style is what
-tells junk. A pair of two equal words is one bucket of its own, whatever the word. A score is the intercept plus, for
-each family, the mean weight of its grams, so scoring needs no sparse vectors: one gather and one sum per family.
+tells junk; white space is that of Unicode, and ASCII controls count as such. A pair of two equal words is one bucket
+of its own, whatever the word. A score is the intercept plus, for each family, the mean weight of its grams, so scoring
+needs no sparse vectors: one gather and one sum per family.
 
-Training uses at most ``SAMPLE`` labelled texts of at most ``LONGEST`` characters, the first by a hash of their id
-(documented bounds, so that the driver can hold them; every text is scored, whatever its length); 3 in 4 train
+Training uses at most ``sample`` different labelled texts (``SAMPLE``), in the order of a hash of the text; copies
+count once. So that the driver can hold them, the sample also ends with the text that brings its characters to
+``sample_chars`` (``SAMPLE_CHARS``). No text is left out for its own length, and every text is scored. 3 in 4 train
 (AdaGrad on the log loss, classes weighted alike), 1 in 4 calibrate (Platt scaling by Newton steps, with the label
-shares as they are). Scoring covers every text in Arrow batches and compares with the fixed threshold ``KEEP``.
+shares as they are; where either part would lack a class, all rows do both). Scoring covers every text in Arrow
+batches and compares with the fixed threshold ``KEEP``.
 
 Rows: a null or empty text, or one without any word, has probability 0 and is rejected. Labels that are null, or of
-ids that have no text, are left out; an id with two labels counts with the lower. With fewer than two classes the
-probability is the share of good labels, (good + 1) / (all + 2), for every text that has a word. Only the id, text
-and label columns are read; ``filter_quality`` returns the rows with all their columns.
+ids that have no text, are left out; a text whose rows have several labels counts with the more frequent one, the lower
+on a tie. Ids and texts may repeat. Very long texts train and are scored like others. With fewer than two classes in
+the sample the probability is the share of good texts, (good + 1) / (all + 2), for every text that has a word. An empty
+table gives no rows. Only the id, text and label columns are read, so names that clash with those of results are safe;
+``filter_quality`` returns the rows with all their columns.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ from pyspark.sql import types as T
 from loomnote.llm import spans
 
 SAMPLE = 4000
-LONGEST = 200_000
+SAMPLE_CHARS = 100_000_000
 KEEP = 0.5
 BITS = 18
 FAMILIES = 3
@@ -40,8 +45,7 @@ _SAME = np.uint64(0x51_7C_C1_B7)
 def grams(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each family the bucket of each gram and the offsets of the texts' grams."""
     shift, n = np.uint64(64 - BITS), len(data)
-    space = (data <= 32) | (data == 0xA0)
-    starts, ends = spans.runs(~space, offsets)
+    starts, ends = spans.runs(~spans.white_mask(data), offsets)
     at = np.searchsorted(starts, offsets)
     h = spans.span_hashes(data, starts, ends)
     out = [((h >> shift).astype(np.int32), at)]
@@ -128,7 +132,7 @@ def _platt(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(texts: list[str | None], good: list[int], epochs: int = 6, rate: float = 0.5) -> Model:
     """Train on (text, 0 or 1); the order of the rows decides which of them calibrate (every fourth)."""
     y = np.asarray(good, dtype=np.float64)
-    if len(y) < 8 or len(set(y.tolist())) < 2:
+    if len(set(y.tolist())) < 2:
         return Model(None, 0.0, 1.0, 0.0, (y.sum() + 1) / (len(y) + 2))
     hold = np.arange(len(y)) % 4 == 3
     if len(set(y[hold].tolist())) < 2 or len(set(y[~hold].tolist())) < 2:
@@ -174,14 +178,32 @@ def fit(texts: list[str | None], good: list[int], epochs: int = 6, rate: float =
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Fit on at most ``sample`` labelled texts, the first by a hash of their id."""
-    some = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where("id is not null and y is not null")
-    some = some.groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & (F.length("text") <= LONGEST))
-    rows = texts.join(F.broadcast(some), "id").orderBy(F.xxhash64("id"), "id", "text").limit(sample)  # the broadcast side has at most `sample` rows
-    rows = rows.collect()
-    return fit([r.text for r in rows], [int(r.y > 0) for r in rows])
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[list[str], list[int]]:
+    """The sample: different texts and their labels. Only ids, hashes and lengths are joined; texts come for those chosen."""
+    given = labels.select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("y")).where("id is not null and y is not null")
+    given = given.groupBy("id").agg(F.sum("y").alias("good"), F.count("y").alias("all"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    marked = rows.select("id", F.xxhash64("text").alias("h"), F.length("text").alias("n")).join(given, "id")
+    texts = marked.groupBy("h").agg(F.min("id").alias("id"), F.sum("good").alias("good"), F.sum("all").alias("all"), F.max("n").alias("n"))
+    chosen, chars = [], 0
+    for r in texts.orderBy("h").limit(sample).collect():
+        chosen.append((r.id, r.h, int(2 * r.good > r["all"])))
+        chars += r.n
+        if chars >= sample_chars:
+            break
+    if not chosen:
+        return [], []
+    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("h", T.LongType()), T.StructField("y", T.IntegerType())])
+    some = F.broadcast(docs.sparkSession.createDataFrame(chosen, schema))  # at most `sample` rows
+    found = rows.join(some.select("id", F.col("h").alias("want"), "y"), "id").where(F.xxhash64("text") == F.col("want"))
+    found = found.groupBy("want").agg(F.any_value("text").alias("text"), F.any_value("y").alias("y")).collect()
+    found.sort(key=lambda r: r.want)
+    return [r.text for r in found], [r.y for r in found]
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_chars: int = SAMPLE_CHARS) -> Model:
+    """Fit on at most ``sample`` different labelled texts of ``docs``."""
+    return fit(*training_rows(docs, labels, sample, sample_chars, id_col, text_col, label_col))
 
 
 def score(docs: DataFrame, model: Model, keep: float = KEEP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

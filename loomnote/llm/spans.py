@@ -96,6 +96,27 @@ def word_mask(data: np.ndarray) -> np.ndarray:
     return m
 
 
+_WIDE_WHITE = [(0xC2, 0x85), (0xC2, 0xA0), (0xE1, 0x9A, 0x80), *((0xE2, 0x80, c) for c in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)), (0xE2, 0x81, 0x9F), (0xE3, 0x80, 0x80)]
+
+
+def white_mask(data: np.ndarray) -> np.ndarray:
+    """True on the bytes of Unicode white space and of ASCII controls."""
+    m = data <= 32
+    n = len(data)
+    for lead in sorted({w[0] for w in _WIDE_WHITE}):
+        at = np.flatnonzero(data == lead)
+        if not len(at):
+            continue
+        second = data[np.minimum(at + 1, n - 1)]
+        third = data[np.minimum(at + 2, n - 1)]
+        for w in _WIDE_WHITE:
+            if w[0] == lead:
+                hit = at[(second == w[1]) & (third == w[2])] if len(w) == 3 else at[second == w[1]]
+                for k in range(len(w)):
+                    m[hit + k] = True
+    return m
+
+
 def runs(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of True, none of which goes from one text to the next."""
     if not len(mask):

@@ -54,7 +54,7 @@ def plain_score(m, text):
 def test_quality_scores_are_those_of_a_plain_version():
     rows = labelled()
     m = quality.fit([t for t, _ in rows], [y for _, y in rows])
-    texts = ["a", "a a", "the of", "x", "", "the  of and !! ###", "é ñ ü", *[t for t, _ in rows[:30]], "the " * 5000]
+    texts = ["a", "a a", "the of", "x", "", "the  of and !! ###", "é ñ ü", "voilà Россия à Р", "中\u3000文 à\u00a0b", "x\u2009y\u2028z\u205fw\u1680v\u0085u", "\u2003", *[t for t, _ in rows[:30]], "the " * 5000]
     got, some = m.raw(pa.array(texts))
     for t, s, ok in zip(texts, got, some):
         want = plain_score(m, t)
@@ -79,8 +79,9 @@ def test_quality_on_the_tables(spark):
         pytest.skip("the test tables aren't here")
     docs, labels = spark.read.parquet(f"{D}/documents.parquet"), spark.read.parquet(f"{D}/labels.parquet")
     m = quality.train(docs, labels, sample=250)
-    seen = {r.doc_id for r in labels.selectExpr("doc_id", "xxhash64(doc_id) as h").orderBy("h", "doc_id").limit(250).collect()}
-    truth = {r.doc_id: r.quality for r in labels.collect() if r.doc_id not in seen}
+    seen = set(quality.training_rows(docs, labels, sample=250)[0])
+    assert len(seen) == 250
+    truth = {r.doc_id: r.quality for r in labels.join(docs, "doc_id").collect() if r.text not in seen}
     got = {r.doc_id: r.kept for r in quality.score(docs, m).collect()}
     good = [got[i] for i, q in truth.items() if q]
     bad = [got[i] for i, q in truth.items() if not q]
@@ -91,14 +92,37 @@ def test_quality_hard_rows(spark):
     docs = spark.createDataFrame([(1, "the of", 0.1), (1, "the of", 0.2), (None, "the of", 0.3), (2, None, 0.4), (3, "", 0.5), (4, " \n", 0.6), (5, "the " * 100_000, 0.7)], "doc_id long, text string, probability double")
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (5, None), (77, 0)], "doc_id long, quality int")
     m = quality.train(docs, labels)
-    assert m.weights is None and m.prior == pytest.approx(3 / 4)  # two rows of one id, both good
+    assert m.weights is None and m.prior == pytest.approx(2 / 3)  # two rows of one text, which counts once
     rows = quality.score(docs, m).collect()
-    assert sorted(((r.doc_id, r.probability, r.kept) for r in rows), key=repr) == sorted([(1, 0.75, True), (1, 0.75, True), (None, 0.75, True), (2, 0.0, False), (3, 0.0, False), (4, 0.0, False), (5, 0.75, True)], key=repr)
+    assert sorted(((r.doc_id, r.probability, r.kept) for r in rows), key=repr) == sorted([(1, m.prior, True), (1, m.prior, True), (None, m.prior, True), (2, 0.0, False), (3, 0.0, False), (4, 0.0, False), (5, m.prior, True)], key=repr)
     kept = quality.filter_quality(docs, m)
     assert kept.schema == docs.schema and sorted(r.probability for r in kept.collect()) == [0.1, 0.2, 0.3, 0.7]
     assert quality.score(docs.limit(0), quality.train(docs.limit(0), labels.limit(0))).count() == 0
 
 
+def test_quality_sample_keeps_long_texts_and_ignores_copies(spark):
+    """Long labelled texts train, copies take no places, labels without texts neither; few rows train too."""
+    long = [(i, f"word{i} " * 40_000, 1) for i in range(10)]
+    short = [(100 + i, f"spam{i} !!", 0) for i in range(20)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in long + short] + [(100, short[0][1])] * 1000, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in long + short] + [(5000 + i, i % 2) for i in range(300)], "doc_id long, quality int")
+    texts, y = quality.training_rows(docs, labels)
+    assert sorted(texts) == sorted(t for _, t, _ in long + short) and sum(y) == 10
+    some, _ = quality.training_rows(docs, labels, sample=12)
+    assert len(some) == len(set(some)) == 12
+    few, _ = quality.training_rows(docs, labels, sample_chars=1)
+    assert len(few) == 1
+    m = quality.train(docs, labels)
+    assert m.weights is not None
+    p = m.probability(pa.array([long[3][1], short[4][1]]))
+    assert p[0] > 0.5 > p[1]
+    two = quality.fit(["good words here", "bad !! !!"], [1, 0])
+    assert two.weights is not None and np.argmax(two.probability(pa.array(["bad !! !!", "good words here"]))) == 1
+    both = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (2, 1), (2, 0)], "doc_id long, quality int")
+    got = quality.training_rows(spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string"), both)
+    assert dict(zip(*got)) == {"a": 0, "b": 1}
+
+
 def plain_viterbi(score, switch):
     v, back = np.zeros(score.shape[1]), []
     for row in score.astype(float):
