@@ -209,11 +209,44 @@ def test_language_held_out(spark):
     assert np.mean([r.lang == r.lang_found for r in rows]) > 0.98
 
 
-def test_copies_take_no_place_in_the_training_sample(spark, monkeypatch):
+def test_copies_take_no_place_in_the_training_sample(spark):
     texts = [f"the of and number {i}" for i in range(20)]
     docs = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string")
     first = docs.orderBy(langid.F.xxhash64("text")).first().text
-    seen = []
-    monkeypatch.setattr(langid, "fit", lambda t, x: seen.extend(t))
-    langid.train(docs.union(spark.createDataFrame([(first, "en")] * 300, docs.schema)), sample=10)
+    seen = [r.text for r in langid.sampled(docs.union(spark.createDataFrame([(first, "en")] * 300, docs.schema)), sample=10).collect()]
     assert len(seen) == len(set(seen)) == 10
+
+
+def test_training_in_tasks_is_that_on_the_driver(spark):
+    """Long texts train like others; the sums of the tasks are the counts of all texts."""
+    rng = random.Random(3)
+    rows = [(sentence(rng, x, n), x) for x in LANGS for n in (5, 300, 60_000)] + [("", "en"), (None, "de"), ("abc", None), ("und so", "und")]
+    m = langid.train(spark.createDataFrame(rows, "text string, lang string"))
+    want = langid.fit([t for t, x in rows if t and x], [x for t, x in rows if t and x])
+    assert m.languages == want.languages and np.array_equal(m.table, want.table) and m.floor == want.floor and np.array_equal(m.candidates, want.candidates)
+
+
+@pytest.mark.parametrize("moves", [1 << 23, 40_000])
+def test_many_languages(spark, monkeypatch, moves):
+    """More labels than a byte holds, in short and long texts."""
+    monkeypatch.setattr(langid, "MOVES", moves)
+    names = [f"x{i:03d}" for i in range(200)]
+    words = {x: [f"{chr(97 + i % 26)}{chr(97 + i // 26)}{k}{'qzj'[j]}{chr(97 + i % 26)}" for j, k in enumerate(("ab", "oc", "ed"))] for i, x in enumerate(names)}
+    m = langid.fit([" ".join(words[x] * 20) for x in names], names)
+    docs = [(i, " ".join(words[x] * n)) for i, (x, n) in enumerate([(names[3], 10), (names[150], 10), (names[199], 400)])]
+    docs.append((3, " ".join(words[names[190]] * 150 + words[names[7]] * 300)))
+    got = {r.doc_id: r for r in langid.detect(spark.createDataFrame(docs, "doc_id long, text string"), m).collect()}
+    assert [got[i].lang_found for i in range(3)] == [names[3], names[150], names[199]]
+    assert got[3].span_langs == [names[190], names[7]] and got[3].span_ends == [450, 1350]
+
+
+def test_scripts_that_have_no_model(spark, languages):
+    """Letters of other scripts are theirs, or of no language; never the language around them."""
+    telugu = "\u0c24\u0c46\u0c32\u0c41\u0c17\u0c41"
+    runic = "\u16a0\u16a1\u16a2\u16a3"
+    texts = {1: "the of and to in that " + " ".join([telugu] * 6), 2: " ".join([runic] * 6) + " the of and to in that with for", 3: "\u1230\u120b\u121d", 4: "\u0ab6\u0ac1", 5: "\u179a\u1794", 6: "日本語 は 世界 の 言語 です", 7: "世界 言語", 8: "the of \U0001f642 and"}
+    got = {r.doc_id: r for r in langid.detect(spark.createDataFrame([*texts.items()], "doc_id long, text string"), languages).collect()}
+    assert (got[1].span_langs, got[1].span_ends) == (["en", "te"], [6, 12]) and (got[2].span_langs, got[2].span_ends) == (["und", "en"], [6, 14])
+    assert [got[i].lang_found for i in (3, 4, 5, 6, 7, 8)] == ["am", "gu", "km", "ja", "zh", "en"]
+    both = langid.fit(["日本 語 世界 です は の ました " * 20, "中国 的 是 我们 这个 " * 20], ["ja", "zh"])
+    assert both.candidates[langid.NAMES.index("Hani")].sum() == 3  # ja, zh and und
