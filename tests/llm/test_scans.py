@@ -9,7 +9,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from loomnote.llm import archive, hosts, langid, licenses, packing, quality, queries, simhash
+from loomnote.llm import archive, hosts, licenses, packing, queries
 
 D = "/root/testdata/sf0.001"
 
@@ -60,6 +60,59 @@ def test_licenses(spark):
     assert licenses.find_licenses(docs.limit(0)).count() == 0
 
 
+NOTICES = {
+    "Licensed under CC BY-ND 4.0": ["CC-BY-ND-4.0"], "licensed under CC BY-NC-SA 4.0.": ["CC-BY-NC-SA-4.0"], "Licensed under CC BY 1.0": [], "This work is not licensed under CC BY 4.0": [], "Never released under the MIT License": [],
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.": [], licenses._gnu("Lesser", "3"): ["LGPL-3.0"], licenses._gnu("Affero", "3"): ["AGPL-3.0"], licenses._gnu("", "2", old=True): ["GPL-2.0"], licenses._gnu("", "3"): ["GPL-3.0"],
+    licenses._BSD3: ["BSD-3-Clause"], licenses._BSD: ["BSD-2-Clause"], licenses._MIT: ["MIT"], licenses._MIT0: ["MIT-0"], "licensed under the Apache License, Version 2.0; released under the MIT License": ["Apache-2.0", "MIT"], "Licensed under the Apache License, version 3.0": [],
+}
+
+
+@pytest.mark.parametrize("text", [*NOTICES])
+def test_licenses_that_are_alike(text):
+    library = licenses.Library(licenses.TEMPLATES)
+    assert [h[0] for h in library.scan(licenses.words_of(text))] == NOTICES[text]
+
+
+def test_scan_is_that_of_every_window():
+    """Alignment at every word of a template, without count filter or skips, gives the same hits; dense texts too."""
+    rng, library = random.Random(5), licenses.Library(licenses.TEMPLATES)
+    seen = 0
+    for n in range(60):
+        words = []
+        for _ in range(rng.randrange(1, 8)):
+            t = rng.choice(library.templates)
+            noise = rng.choice((0.0, 0.05, 0.15))
+            words += [rng.choice(t.words) if rng.random() < noise / 2 else w for w in t.words if rng.random() >= noise]
+            words += [rng.choice(("prose", "the", "of", "license", "under", "software")) for _ in range(rng.randrange(0, 30) if n % 2 else 0)]
+        plain = {h for t in library.templates for a, w in enumerate(words) if w in t.count and (h := t.hit(words, a))}
+        got = library.scan(words)
+        assert got == licenses.best(plain)
+        seen += len(got)
+    assert seen > 100
+
+
+def test_best_is_the_plain_choice():
+    rng = random.Random(7)
+    for _ in range(100):
+        hits = {(rng.choice("ab"), a := rng.randrange(60), a + rng.randrange(1, 9), rng.randrange(1, 6), 6) for _ in range(rng.randrange(40))}
+        out = []
+        for h in sorted(hits, key=lambda h: (-h[3], -h[3] / h[4], h[2] - h[1], h[0], h[1])):
+            if all(h[2] <= o[1] or h[1] >= o[2] for o in out):
+                out.append(h)
+        assert licenses.best(hits) == sorted(out, key=lambda h: h[1])
+
+
+def test_many_notices_take_linear_time():
+    import time
+
+    library, took = licenses.Library(licenses.TEMPLATES), []
+    for n in (2000, 8000):
+        began = time.thread_time()
+        assert len(library.scan(licenses.words_of("Released under the MIT License. " * n))) == n
+        took.append(time.thread_time() - began)
+    assert took[1] < 8 * took[0] + 0.5
+
+
 def zipped(members, method):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", method) as z:
@@ -228,4 +281,3 @@ def test_pipeline(spark, tmp_path):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
-    assert (langid, quality, simhash)
