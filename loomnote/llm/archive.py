@@ -12,8 +12,14 @@ again by itself, from its offset and through a newly opened file, ``retries`` ti
 payload and the reason in ``error``, and the other members go on. An archive whose directory can't be read gives one
 such row, with null member, from the range that holds its start.
 
-Members may be stored or deflated. Rows with a null id, null payload and repeated ids are written and come back;
-empty payloads are empty, null ones null (they are members with the suffix ``?``). Empty tables give no archive.
+Members may be stored or deflated. A member that unpacks to more bytes than its directory names, or to more than a
+binary value can hold (2 GiB), is an error row too, found without unpacking further.
+
+Rows: a member's name is ``id/number`` and a mark, ``!`` for a null id, ``?`` for a null payload; the id is what comes
+before the last slash, so ids may be empty, hold slashes or any character, and repeat (up to 60,000 bytes; beyond that
+writing fails with a message, as the format's names end there). Empty payloads come back empty, null ones null; very
+long ones, up to 2 GiB, whole. Empty tables give no archive and no rows. Only the id and the payload are read, so extra
+columns with the names of results are safe.
 """
 
 from __future__ import annotations
@@ -37,6 +43,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 SPLIT = 64 << 20
 BATCH = 4 << 20
 RETRIES = 3
+LARGEST = (1 << 31) - 1
+LONGEST_ID = 60_000
 SCHEMA = "archive string, member string, offset long, size long, payload binary, error string"
 
 
@@ -101,7 +109,9 @@ def directory(f, length: int) -> list[Member]:
 
 
 def payload(f, m: Member) -> bytes:
-    """A member's bytes, checked."""
+    """A member's bytes, checked; no more is read or unpacked than the directory names."""
+    if max(m.size, m.packed) > LARGEST:
+        raise ValueError("the member is too long for a binary value")
     f.seek(m.offset)
     head = f.read(30)
     if head[:4] != b"PK\x03\x04":
@@ -110,7 +120,8 @@ def payload(f, m: Member) -> bytes:
     f.seek(m.offset + 30 + n + extra)
     data = f.read(m.packed)
     if m.method == 8:
-        data = zlib.decompress(data, -15)
+        unpack = zlib.decompressobj(-15)
+        data = unpack.decompress(data, m.size + 1)
     elif m.method:
         raise ValueError(f"compression method {m.method} isn't known")
     if len(data) != m.size or zlib.crc32(data) != m.crc:
@@ -161,7 +172,7 @@ class MemberReader(DataSourceReader):
                 try:
                     data, why = payload(f, m), None
                     break
-                except (OSError, ValueError, struct.error, zlib.error) as e:
+                except (OSError, ValueError, MemoryError, struct.error, zlib.error) as e:
                     why = str(e)
                     try:
                         f = where.open_input_file(path)
@@ -196,6 +207,14 @@ class ArchiveSource(DataSource):
         return MemberReader(self.options)
 
 
+def member_name(i: str | None, n: int, none: bool) -> str:
+    """The name of row n's member; what ZIP tools cut names at is escaped."""
+    plain = (i or "").replace("%", "%25").replace("\0", "%00").replace("\\", "%5C")
+    if len(plain.encode()) > LONGEST_ID:
+        raise ValueError(f"an id of more than {LONGEST_ID} bytes can't name a member: {plain[:50]}...")
+    return f"{plain}/{n}{'!' if i is None else ''}{'?' if none else ''}"
+
+
 def write_archives(rows: DataFrame, folder: str, id_col: str, payload_col: str, deflate: bool = True) -> int:
     """Write each row's payload as member ``id/number``; returns how many were written. ``folder`` is a shared one."""
     picked = rows.select(F.col(id_col).cast("string").alias("id"), F.col(payload_col).cast("binary").alias("payload"))
@@ -215,7 +234,7 @@ def write_archives(rows: DataFrame, folder: str, id_col: str, payload_col: str,
                     sink = where.open_output_stream(temp)
                     archive = zipfile.ZipFile(_Forward(sink), "w", zipfile.ZIP_DEFLATED if deflate else zipfile.ZIP_STORED, compresslevel=1 if deflate else None)
                 data = data.as_py()
-                archive.writestr(zipfile.ZipInfo(f"{'' if i is None else i}/{n}{'?' if data is None else ''}"), data or b"", zipfile.ZIP_DEFLATED if deflate else zipfile.ZIP_STORED, 1 if deflate else None)
+                archive.writestr(zipfile.ZipInfo(member_name(i, n, data is None)), data or b"", zipfile.ZIP_DEFLATED if deflate else zipfile.ZIP_STORED, 1 if deflate else None)
                 n += 1
         if archive is not None:
             archive.close()
@@ -257,6 +276,9 @@ def read_archives(spark: SparkSession, folder: str, **options) -> DataFrame:
 
 def media_columns(members: DataFrame, id_col: str, id_type: str = "long") -> DataFrame:
     """(id, n_bytes, sha256, error) of members that ``write_archives`` wrote."""
-    i = F.split("member", "/")[0]
-    none = F.col("member").endswith("?")
-    return members.select(F.when(i != "", i).cast(id_type).alias(id_col), F.when(~none, F.length("payload")).cast("long").alias("n_bytes"), F.when(~none, F.sha2("payload", 256)).alias("sha256"), F.col("error"))
+    last = F.substring_index("member", "/", -1)
+    i = F.regexp_extract("member", r"(?s)^(.*)/[^/]*$", 1)
+    for code, mark in (("%5C", "\\"), ("%00", "\0"), ("%25", "%")):
+        i = F.replace(i, F.lit(code), F.lit(mark))
+    none = last.endswith("?")
+    return members.select(F.when(~last.contains("!"), i).cast(id_type).alias(id_col), F.when(~none, F.length("payload")).cast("long").alias("n_bytes"), F.when(~none, F.sha2("payload", 256)).alias("sha256"), F.col("error"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import uuid
 from collections.abc import Callable
@@ -21,6 +22,16 @@ def ranks_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+SUFFIXES = "/usr/share/publicsuffix/public_suffix_list.dat"
+
+
+@functools.cache
+def suffix_rules() -> hosts.Rules:
+    """The public suffixes: of the system's list, or of a file of its format at ``LOOMNOTE_SUFFIXES``; else a few."""
+    path = os.environ.get("LOOMNOTE_SUFFIXES", SUFFIXES)
+    return hosts.read_rules(path) if os.path.exists(path) else hosts.RULES
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -62,7 +73,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hosts.reputation(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+    return hosts.reputation(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"), suffix_rules())
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,5 +95,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op5_media_columns": "select page_id, strlen(html)::bigint as n_bytes, sha256(html) as sha256, null::varchar as error from pages",
-    "op9_url_filter": hosts.sql(),
+    "op9_url_filter": hosts.sql(suffix_rules()),
 }

@@ -5,6 +5,7 @@ import io
 import os
 import random
 import zipfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -146,6 +147,19 @@ def test_broken_members_stand_alone(spark, tmp_path):
     assert by[None].error and by[None].archive.endswith("cut.zip") and len(rows) == 6
 
 
+def test_a_member_that_unpacks_too_far_is_an_error():
+    """What the directory says is the limit, whatever the data would unpack to."""
+    raw = zipped({"bomb": b"0" * 50_000_000}, zipfile.ZIP_DEFLATED)
+    m = archive.directory(io.BytesIO(raw), len(raw))[0]
+    assert len(archive.payload(io.BytesIO(raw), m)) == 50_000_000
+    m.size = 10
+    with pytest.raises(ValueError, match="length"):
+        archive.payload(io.BytesIO(raw), m)
+    m.size = 1 << 31
+    with pytest.raises(ValueError, match="too long"):
+        archive.payload(io.BytesIO(raw), m)
+
+
 def test_a_member_is_retried_by_its_offset(monkeypatch):
     raw = zipped({"a": b"1" * 100, "b": b"2" * 100}, zipfile.ZIP_STORED)
     calls = []
@@ -176,6 +190,12 @@ def test_round_trip_of_columns(spark, tmp_path):
     rows = archive.media_columns(archive.read_archives(spark, folder, split=1000), "page_id")
     want = docs.select("page_id", F.octet_length("html").cast("long").alias("n_bytes"), F.sha2("html", 256).alias("sha256"), F.lit(None).cast("string").alias("error"))
     assert sorted(map(repr, map(tuple, rows.collect()))) == sorted(map(repr, map(tuple, want.collect())))
+    ids = ["", None, "a/b", "a/b/", "%00", "x\0y", "100%", "\\z", "!", "?", "é\n"]
+    odd = spark.createDataFrame([(i, "p", "q") for i in ids], "page_id string, html string, member string").repartition(2)
+    archive.write_archives(odd, f"file://{tmp_path}/odd", "page_id", "html")
+    assert Counter(r.page_id for r in archive.media_columns(archive.read_archives(spark, f"file://{tmp_path}/odd"), "page_id", "string").collect()) == Counter(ids)
+    with pytest.raises(ValueError):
+        archive.member_name("x" * 70_000, 0, False)
     assert archive.write_archives(docs.limit(0), f"file://{tmp_path}/none", "page_id", "html") == 0
     assert archive.read_archives(spark, f"file://{tmp_path}/none").count() == 0
 
@@ -184,11 +204,11 @@ def norm(v):
     return round(v, 5) if isinstance(v, float) else v.replace(tzinfo=None) if isinstance(v, datetime.datetime) else v
 
 
-def test_reputation_against_sql(spark, tmp_path):
+def test_reputation_against_sql(spark, tmp_path, monkeypatch):
     import duckdb
 
     rng = random.Random(3)
-    names = {"good.example.com": 0.95, "a.bad.example.net": 0.05, "b.bad.example.net": 0.1, "x.co.uk": 0.6, "www.x.co.uk": 0.5, "co.uk": 0.9, "localhost": 0.5, "new.bad.example.net": None}
+    names = {"good.example.com": 0.95, "a.bad.example.net": 0.05, "b.bad.example.net": 0.1, "x.co.uk": 0.6, "www.x.co.uk": 0.5, "co.uk": 0.9, "localhost": 0.5, "10.0.0.1": 0.2, "[::1]": 0.9, "a.github.io": 0.1, "b.github.io": 0.9, "a.b.ck": 0.5, "www.ck": 0.6, "x.www.ck": 0.6, "c.b.ck": 0.4, "deep.a.b.c.ck": 0.5, "new.bad.example.net": None}
     pages, labels = [], []
     for i in range(600):
         host = rng.choice([*names])
@@ -203,16 +223,24 @@ def test_reputation_against_sql(spark, tmp_path):
     for name, df in (("pages", p), ("labels", q)):
         df.coalesce(1).write.parquet(str(tmp_path / name))
         con.execute(f"create view {name} as select * from '{tmp_path}/{name}/*.parquet'")
-    rel = con.sql(hosts.sql())
+    (tmp_path / "rules").write_text("// a comment\nuk\nco.uk\ngithub.io // private\n*.ck\n!www.ck\n\n公司.cn\n")
+    rules = hosts.read_rules(str(tmp_path / "rules"))
+    assert rules == hosts.Rules(frozenset(["co.uk", "github.io", "公司.cn", "xn--55qx5d.cn"]), frozenset(["ck"]), frozenset(["www.ck"]))
+    rel = con.sql(hosts.sql(rules))
     cols = sorted(rel.columns)
-    got = hosts.reputation(p, q)
+    got = hosts.reputation(p, q, rules)
     assert sorted(got.columns) == cols
     want = sorted(repr(tuple(norm(r[rel.columns.index(c)]) for c in cols)) for r in rel.fetchall())
     assert sorted(repr(tuple(norm(r[c]) for c in cols)) for r in got.collect()) == want
     by = {r.host: r for r in got.collect()}
     assert by["good.example.com"].kept and not by["a.bad.example.net"].kept and by["new.bad.example.net"].domain == "example.net"
     assert by["www.x.co.uk"].domain == "x.co.uk" and by["www.x.co.uk"].suffix == by["co.uk"].domain == "co.uk" and by["localhost"].suffix == "localhost"
-    kept = hosts.filter_urls(p, q)
+    parts = {h: (r.domain, r.suffix) for h, r in by.items()}
+    assert parts["10.0.0.1"] == ("10.0.0.1",) * 2 and parts["[::1]"] == ("[::1]",) * 2 and parts["a.github.io"] == ("a.github.io", "github.io")
+    assert (parts["a.b.ck"], parts["c.b.ck"], parts["deep.a.b.c.ck"]) == (("a.b.ck", "b.ck"), ("c.b.ck", "b.ck"), ("b.c.ck", "c.ck")) and parts["www.ck"] == parts["x.www.ck"] == ("www.ck", "ck")
+    monkeypatch.setattr(hosts, "HOT", 3)
+    assert sorted(map(tuple, hosts.reputation(p, q, rules).collect()), key=repr) == sorted(map(tuple, got.collect()), key=repr)
+    kept = hosts.filter_urls(p, q, rules)
     assert kept.columns == p.columns and kept.count() == got.where("kept").count()
     none = hosts.reputation(p, q.limit(0)).collect()
     assert all(r.kept and r.rate == 0.5 for r in none) and len(none) == len(pages)
