@@ -16,7 +16,10 @@ Texts are cut into pre-tokens first (``spans.pretokens``); pieces are encoded on
 ``PieceCache``, whose size is bounded (it is emptied when full, which costs time, never results).
 
 Rows: a null text gives null tokens; an empty text an empty list. Repeated rows and ids give repeated results; ids
-may be null. Only the id and the text column are read, so further columns, whatever their names, have no effect.
+may be null. Very long texts are encoded whole, empty tables give no rows. Only the id and the text column are read, so
+further columns, whatever their names, have no effect. Decoding: a null list gives a null text, an empty one "". A list
+with a null, a negative number or one that the vocabulary lacks gives a null text, and their number in ``n_bad``. Bytes
+that aren't UTF-8, as a list may have that is part of a text's, become U+FFFD.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from collections.abc import Callable, Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -244,16 +248,36 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
     return rows.mapInArrow(run, schema)
 
 
+def _strings(data: bytes, ends: np.ndarray, null: np.ndarray) -> pa.Array:
+    """Texts of UTF-8 bytes that lie one after another; where they aren't UTF-8, with replacements."""
+    at = np.concatenate([[0], ends]).astype(np.int64)
+    binary = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(at), pa.py_buffer(data)])
+    try:
+        texts = binary.cast(pa.large_string())
+    except pa.ArrowInvalid:
+        texts = pa.array([data[a:b].decode("utf-8", "replace") for a, b in zip(at.tolist(), at[1:].tolist())], pa.large_string())
+    return pc.if_else(pa.array(null), pa.scalar(None, pa.large_string()), texts).cast(pa.string())
+
+
 def decode(tokens: DataFrame, ranks_path: str, id_col: str = "doc_id", tokens_col: str = "tokens", text_col: str = "text") -> DataFrame:
-    """(id, text) of lists of tokens. Null lists give null; tokens that the vocabulary lacks raise an error."""
+    """(id, text, n_bad) of lists of tokens; a batch's lists are decoded by one gather."""
     ranks = tokens.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-    rows = tokens.select(F.col(id_col).alias("id"), F.col(tokens_col).cast("array<int>").alias("tokens"))
-    schema = T.StructType([T.StructField(id_col, rows.schema["id"].dataType), T.StructField(text_col, T.StringType())])
+    rows = tokens.select(F.col(id_col).alias("id"), F.col(tokens_col).cast("array<long>").alias("tokens"))
+    schema = T.StructType([T.StructField(id_col, rows.schema["id"].dataType), T.StructField(text_col, T.StringType()), T.StructField("n_bad", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, _ = worker_vocab(ranks.value)
+        size = len(vocab.tokens)
         for batch in batches:
-            texts = [None if x is None else vocab.decode(np.asarray(x, dtype=np.int64)).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=schema.names)
+            lists, none = batch.column(1), ~np.asarray(batch.column(1).is_valid())
+            count = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
+            flat = np.asarray(pc.fill_null(lists.flatten(), -1))  # without those of null lists
+            at = np.concatenate([[0], np.cumsum(count)])
+            wrong = (flat < 0) | (flat >= size)
+            bad = np.diff(np.concatenate([[0], np.cumsum(wrong)])[at])
+            ids = np.where(wrong, 0, flat)
+            length = np.concatenate([[0], np.cumsum(vocab.begin[ids + 1] - vocab.begin[ids])])
+            texts = _strings(vocab.decode(ids), length[at[1:]], none | (bad > 0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts, pa.array(bad, mask=none)], names=schema.names)
 
     return rows.mapInArrow(run, schema)

@@ -86,12 +86,32 @@ def test_encode_decode_count_dac(spark, vocab):
     assert sorted(map(repr, (r.text for r in back))) == sorted(map(repr, texts))
     counts = tokencount.count_tokens(docs, path).collect()
     assert sorted(((-1 if r.doc_id is None else r.doc_id, r.n_tokens) for r in counts), key=repr) == sorted(((i, None if t is None else len(t)) for i, t in want), key=repr)
+    pattern = regex.compile(public_tokenizers.PATTERN)
+    whole = {t for t in v.tokens if pattern.findall(t.decode("utf-8", "replace")) == [t.decode("utf-8", "replace")] and library._encode_single_piece(t) == [v.ids[t]]}
+    alone = sorted(((i % 7 if i % 11 else -1, None if t is None else sum(p.encode() in whole for p in pattern.findall(t))) for i, t in enumerate(texts)), key=repr)
+    assert sorted(((-1 if r.doc_id is None else r.doc_id, r.n_whole) for r in counts), key=repr) == alone
     blobs = dac.write_tokens(docs, path).collect()
     assert sorted(((-1 if r.doc_id is None else r.doc_id, None if r.dac is None else dac.Reader(bytes(r.dac)).all().tolist()) for r in blobs), key=repr) == want
+    assert all(r.n_tokens == (None if r.dac is None else len(dac.Reader(bytes(r.dac)))) for r in blobs)
     for op in (bpe.encode, tokencount.count_tokens, dac.write_tokens):
         assert op(docs.limit(0), path).count() == 0
 
 
+def test_decode_hard_rows(spark, vocab):
+    path, v, library = vocab
+    text = "it's été 你好 🙂"
+    ids = library.encode_ordinary(text)
+    cut = next(k for k in range(1, len(ids)) if "\ufffd" in v.decode(np.array(ids[:k])).decode("utf-8", "replace"))
+    lists = {1: ids, 2: [], 3: None, 4: [5, None], 5: [-2], 6: [len(v.tokens)], 7: [7, 8] * 100_000, 8: ids[:cut], 9: [1 << 40]}
+    df = spark.createDataFrame([(i, x, "n", 0) for i, x in lists.items()] + [(None, ids, "n", 0)], "doc_id long, tokens array<long>, text string, n_bad int")
+    rows = bpe.decode(df, path).collect()
+    got = {r.doc_id: (r.text, r.n_bad) for r in rows}
+    assert got[None] == got[1] == (text, 0) and got[2] == ("", 0) and got[3] == (None, None)
+    assert [got[i] for i in (4, 5, 6, 9)] == [(None, 1)] * 4
+    assert got[7] == (library.decode(lists[7]), 0) and got[8] == (v.decode(np.array(ids[:cut])).decode("utf-8", "replace"), 0)
+    assert bpe.decode(df.limit(0), path).count() == 0
+
+
 @pytest.mark.parametrize("n", [0, 1, 7, 8, 511, 512, 513, 5000])
 @pytest.mark.parametrize("top", [1, 255, 256, 65536, 1 << 31])
 def test_dac_access(n, top):
