@@ -46,7 +46,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"))
+    return packing.pack(_table(spark, sf_dir, "documents"), ranks_path())
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
