@@ -8,9 +8,10 @@ position but the last two, under that position and its byte there; inside such a
 bytes, at any two later positions. So any two nodes that share three bytes meet, in the list of the first of them. Lists
 stream through numpy, sorted by key, and each pair of positions is one sort of packed integers:
 
-* verify: a Hamming distance of ``max_distance`` at most, for pairs that nothing connects so far;
-* filter: at least ``max(3, BYTES - max_distance)`` shared bytes: what any pair within the distance is sure to have or,
-  where the distance reaches BYTES - 2 and less is sure, what a meeting demands anyway.
+* filter: at least ``max(3, BYTES - max_distance)`` shared bytes, tallied for pairs that nothing connects so far: what
+  any pair within the distance is sure to have or, where the distance reaches BYTES - 2 and less is sure, what a meeting
+  demands anyway (then the tally is left out, as it could reject nothing);
+* verify: a Hamming distance of ``max_distance`` at most.
 
 A list gives a forest that connects what its verified pairs connect, not the pairs, so a list of m nodes gives fewer
 than m edges; none is capped. Groups are the connected components of all edges. A pair can only be missed if it shares
@@ -22,7 +23,9 @@ the pairs that meet by chance are a 1 / 2**24 of all for each of the 4960 positi
 the square of the corpus beyond some 10**8 texts.
 
 Rows: a null text, or one without words, has no fingerprint and is never a duplicate. Repeated rows (one id, one
-text) are duplicates of each other; ids may be null. The first by (id, hash of the text) stays for its group.
+text) are duplicates of each other; ids may be null. The first by (id, hash of the text) stays for its group, null ids
+first. Very long texts are fingerprinted whole. An empty table gives no rows. Columns whose names clash with those used
+here are safe; ``drop_duplicates`` keeps all columns.
 """
 
 from __future__ import annotations
@@ -158,10 +161,11 @@ def _meet(sub: np.ndarray, rows: np.ndarray, wide: np.ndarray, label: np.ndarray
         open_ = label[a] != label[b]
         a, b = a[open_], b[open_]
         x = wide[a] ^ wide[b]
+        if BYTES - max_distance > SHARED:  # else all that meet have enough
+            enough = (x.view(np.uint8) == 0).sum(axis=1) >= BYTES - max_distance
+            a, b, x = a[enough], b[enough], x[enough]
         ok = np.bitwise_count(x).sum(axis=1, dtype=np.int32) <= max_distance
         if ok.any():
-            a, b, x = a[ok], b[ok], np.ascontiguousarray(x[ok])
-            ok = (x.view(np.uint8) == 0).sum(axis=1) >= max(SHARED, BYTES - max_distance)
             _hook(label, a[ok], b[ok])
 
 

@@ -81,6 +81,21 @@ def test_isolated_pairs_by_distance(spark):
         assert band.sum() >= 40 and met[band].mean() >= least, (low, high, band.sum(), met[band].mean())
 
 
+@pytest.mark.parametrize("distance, shared", [(28, 4), (29, 3), (20, 12)])
+def test_a_guaranteed_minimum_is_found(spark, distance, shared):
+    """Lone pairs at the distance that share just the bytes that any pair within it must share: all are found."""
+    rng = np.random.default_rng(distance)
+    fp = rng.integers(0, 256, (600, simhash.BYTES), dtype=np.uint8)
+    for k in range(0, 600, 2):
+        fp[k + 1] = fp[k]
+        for p in rng.permutation(simhash.BYTES)[: simhash.BYTES - shared]:
+            fp[k + 1, p] ^= np.uint8(1 << rng.integers(8))
+    assert (np.bitwise_count(fp[::2] ^ fp[1::2]).sum(axis=1) == distance).all()
+    nodes = spark.createDataFrame([(bytearray(x.tobytes()),) for x in fp], "fp binary")
+    got = {(bytes(r.a), bytes(r.b)) for r in simhash.edges(nodes, max_distance=distance).collect()}
+    assert got == {tuple(sorted((fp[k].tobytes(), fp[k + 1].tobytes()))) for k in range(0, 600, 2)}
+
+
 def test_hot_list_of_near_copies():
     """Thousands of near copies in one list: all in one component, far fewer edges than pairs."""
     rng = np.random.default_rng(0)
