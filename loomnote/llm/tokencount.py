@@ -7,8 +7,10 @@ merge; only the others are merged, each distinct one once (``bpe.PieceCache``).
 Strings are compared by a 64-bit hash; a false match would need a collision with one of about 50,000 hashes, about
 3e-15 for a distinct pre-token.
 
-Rows: a null text has a null count, an empty one 0. Repeated rows and null ids are counted like any other. Only the
-id and the text column are read.
+Rows: a null text has a null count, an empty one 0. Very long texts are counted whole. Repeated rows and null ids are
+counted like any other. An empty table gives no rows. A vocabulary without whole tokens counts by merges alone; one
+that lacks a byte of a text can't encode it, which is an error. Only the id and the text column are read, so columns
+with the names of results are safe.
 """
 
 from __future__ import annotations
@@ -25,17 +27,24 @@ from loomnote.llm import bpe, spans
 
 
 def whole_hashes(vocab: bpe.Vocab) -> np.ndarray:
-    """Sorted hashes of the vocabulary strings that are one pre-token and encode as one token."""
-    out = []
-    data, begin = vocab.blob, vocab.begin
-    starts = spans.pretokens(data, begin)
-    alone = np.fromiter(map(vocab.alone, range(len(vocab.tokens))), dtype=bool, count=len(vocab.tokens))
-    one = np.diff(np.searchsorted(starts, begin)) == 1
-    for i in np.flatnonzero(alone & one).tolist():
-        if vocab.encode_piece(vocab.tokens[i]) == [i]:
-            out.append(i)
-    i = np.array(out)
-    return np.sort(spans.span_hashes(data, begin[i], begin[i + 1]))
+    """Sorted hashes of the vocabulary strings that are one pre-token and encode as one token.
+
+    Tokens that are parts of characters are left out: no pre-token of a text is one.
+    """
+    texts = [i for i, t in enumerate(vocab.tokens) if vocab.alone(i) and _is_text(t)]
+    data = np.frombuffer(b"".join(vocab.tokens[i] for i in texts), dtype=np.uint8)
+    begin = np.concatenate([[0], np.cumsum([vocab.lens[i] for i in texts])]).astype(np.int64)
+    one = np.diff(np.searchsorted(spans.pretokens(data, begin), begin)) == 1
+    proved = np.array([k for k in np.flatnonzero(one).tolist() if vocab.encode_piece(vocab.tokens[texts[k]]) == [texts[k]]], dtype=np.int64)
+    return np.sort(spans.span_hashes(data, begin[proved], begin[proved + 1]))
+
+
+def _is_text(token: bytes) -> bool:
+    try:
+        token.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
 
 
 _proved: dict[int, np.ndarray] = {}
@@ -60,7 +69,7 @@ def count_tokens(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_
                 starts = spans.pretokens(data, offsets)
                 ends = np.append(starts[1:], len(data))
                 h = spans.span_hashes(data, starts, ends)
-                hit = whole[np.minimum(np.searchsorted(whole, h), len(whole) - 1)] == h
+                hit = whole[np.minimum(np.searchsorted(whole, h), len(whole) - 1)] == h if len(whole) else np.zeros(len(h), dtype=bool)
                 rest = np.flatnonzero(~hit)
                 count = hit.astype(np.int64)
                 if len(rest):
