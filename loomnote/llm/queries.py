@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 import os
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,7 +53,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{session.shared_folder(spark)}/media-{uuid.uuid4().hex}"
+    folder = session.scratch(spark, "media")
     archive.write_archives(_table(spark, sf_dir, "pages"), folder, "page_id", "html")
     return archive.media_columns(archive.read_archives(spark, folder), "page_id")
 

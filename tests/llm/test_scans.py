@@ -1,4 +1,4 @@
-"""License scans, archives, host reputation and the pipeline."""
+"""License scans, archives and host reputation."""
 
 import datetime
 import io
@@ -10,7 +10,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from loomnote.llm import archive, hosts, licenses, packing, queries
+from loomnote.llm import archive, hosts, licenses, queries
 
 D = "/root/testdata/sf0.001"
 
@@ -259,53 +259,3 @@ def test_queries_with_sql(spark, name):
     cols = sorted(df.columns)
     assert sorted(rel.columns) == cols
     assert sorted(repr(tuple(norm(r[c]) for c in cols)) for r in df.collect()) == sorted(repr(tuple(norm(r[rel.columns.index(c)]) for c in cols)) for r in rel.fetchall())
-
-
-def test_pipeline(spark, tmp_path):
-    """Each stage against what it should do to planted rows, and the whole run."""
-    import corpus_pipeline
-
-    rng = random.Random(8)
-    vocab = {"en": ["the", "of", "and", "with"], "de": ["der", "und", "nicht", "mit"]}
-    stems = [f"{a}{b}{c}" for a in ("ber", "lin", "tor", "van", "kel") for b in ("a", "o", "e") for c in ("ting", "lich", "mond", "ser", "nat", "gul")]
-    rows, label = [], []
-
-    def text(lang, n):
-        return " ".join(rng.choice(vocab[lang] if rng.random() < 0.5 else stems) + str(rng.choice(("", "s", "en"))) for _ in range(n))
-
-    for i in range(160):
-        lang = "en" if i % 2 else "de"
-        rows.append((i, text(lang, 150), lang))
-        label.append((i, 1))
-    for i in range(160, 220):
-        rows.append((i, " ".join(w + rng.choice(("!!", "%%%")) for w in text("en", 80).split()), "en"))
-        label.append((i, 0))
-    base = rows[3][1].split()
-    rows.append((500, " ".join(base), "en"))
-    rows.append((501, " ".join([*base[:40], "changed", *base[41:]]), "en"))
-    rows += [(600, None, "en"), (601, "", None), (None, rows[4][1], "de"), (3, rows[3][1], "en")]
-    docs = spark.createDataFrame([(i, t, x, "src", len(t or "")) for i, t, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    docs.write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(i, q, 0) for i, q in label], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "language_id", "near_duplicates", "packing"]
-    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    kept = []
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        nxt = stage(spark, now, str(tmp_path))
-        assert nxt.columns == docs.columns
-        kept.append([r.doc_id for r in nxt.collect()])
-        now = spark.createDataFrame(nxt.collect(), docs.schema)
-    clean = set(range(160)) | {500, 501, None}
-    assert set(kept[0]) == clean and kept[0].count(3) == 2
-    assert set(kept[1]) == clean
-    # exact and near copies go; of (None, 4) the null id is first
-    assert sorted(kept[2], key=repr) == sorted([*(set(range(160)) - {4}), None], key=repr)
-    plan = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert sorted((r.doc_id for r in plan), key=repr) == sorted(kept[2], key=repr)
-    h = {}
-    for r in plan:
-        h[r.n_tokens] = h.get(r.n_tokens, 0) + 1
-    assert {r.padded_to for r in plan} == set(packing.boundaries([*h.items()], packing.BUCKETS))
-    empty = docs.limit(0)
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, empty, str(tmp_path)).count() == 0
