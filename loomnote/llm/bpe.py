@@ -25,6 +25,7 @@ that aren't UTF-8, as a list may have that is part of a text's, become U+FFFD.
 from __future__ import annotations
 
 import base64
+import itertools
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -95,7 +96,7 @@ class Vocab:
         key = a << 32 | b
         known = self._compatible.get(key)
         if known is None:
-            if len(self._compatible) > 2_000_000:
+            if len(self._compatible) > 250_000:
                 self._compatible.clear()
             known = self._compatible[key] = self._derive(a, b)
         return known
@@ -151,42 +152,102 @@ class Vocab:
         return self.blob[np.arange(total) + np.repeat(begin - out, lens)].tobytes()
 
 
+class HashTable:
+    """64-bit keys to small numbers, by open addressing in numpy arrays that are looked up and filled a batch at a time.
+
+    At most three quarters full, so a key takes 16 to 32 bytes. Keys are hashes already; 0 marks a free place.
+    """
+
+    def __init__(self):
+        self.keys, self.values, self.n = np.zeros(1 << 12, dtype=np.uint64), np.zeros(1 << 12, dtype=np.int32), 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 where there is none."""
+        mask, out, todo = len(self.keys) - 1, np.full(len(keys), -1, dtype=np.int64), np.arange(len(keys))
+        at = (keys & np.uint64(mask)).astype(np.int64)
+        while len(todo):
+            there = self.keys[at[todo]]
+            hit = there == keys[todo]
+            out[todo[hit]] = self.values[at[todo[hit]]]
+            todo = todo[~hit & (there != 0)]
+            at[todo] = (at[todo] + 1) & mask
+        return out
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Put keys that aren't there, all different."""
+        if 4 * (self.n + len(keys)) > 3 * len(self.keys):
+            old = self.keys != 0
+            keys, values = np.concatenate([self.keys[old], keys]), np.concatenate([self.values[old], values])
+            size = 1 << (4 * len(keys) // 3).bit_length()
+            self.keys, self.values, self.n = np.zeros(size, dtype=np.uint64), np.zeros(size, dtype=np.int32), 0
+        mask, todo = len(self.keys) - 1, np.arange(len(keys))
+        self.n += len(keys)
+        at = (keys & np.uint64(mask)).astype(np.int64)
+        while len(todo):
+            free = self.keys[at[todo]] == 0
+            first = todo[free]
+            self.keys[at[first]] = keys[first]  # of several keys for one place, one gets it
+            won = self.keys[at[first]] == keys[first]
+            self.values[at[first[won]]] = values[first[won]]
+            todo = np.concatenate([todo[~free], first[~won]])
+            at[todo] = (at[todo] + 1) & mask
+
+
+def _different(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(different hashes, where each is first, which each one is); none is 0."""
+    return np.unique(np.maximum(hashes, np.uint64(1)), return_index=True, return_inverse=True)
+
+
+class CountCache:
+    """The number of tokens of pieces, by a piece's hash. At ``most`` pieces it is emptied, which costs time, never results."""
+
+    def __init__(self, encode: Callable[[bytes], list[int]], most: int = 1_500_000):
+        self.encode, self.most, self.table = encode, most, HashTable()
+
+    def counts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        unique, first, inverse = _different(hashes)
+        if self.table.n + len(unique) > self.most:
+            self.table = HashTable()
+        found = self.table.find(unique)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            raw = data.tobytes()
+            found[new] = [len(self.encode(raw[a:b])) for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())]
+            self.table.add(unique[new], found[new].astype(np.int32))
+        return found[inverse]
+
+
 class PieceCache:
-    """Token ids by a piece's 64-bit hash; filled as pieces turn up."""
+    """Token ids of pieces, by a piece's hash; filled as pieces turn up, and emptied like ``CountCache``."""
 
     def __init__(self, encode: Callable[[bytes], list[int]], most: int = 1_500_000):
         self.encode, self.most = encode, most
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[int, int] = {}
-        self.count, self.at, self.used = np.zeros(1024, dtype=np.int32), np.zeros(1024, dtype=np.int64), 0
+        self.table, self.used = HashTable(), 0
+        self.count, self.at = np.zeros(1024, dtype=np.int32), np.zeros(1024, dtype=np.int32)
         self.ids = np.zeros(4096, dtype=np.int32)
 
     def slots(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """The slot of each piece; pieces that are new get encoded."""
-        unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.slot) + len(unique) > self.most:
+        unique, first, inverse = _different(hashes)
+        if self.table.n + len(unique) > self.most or self.used + len(data) >= 1 << 31:
             self.clear()
-        get = self.slot.get
-        found = np.fromiter((get(h, -1) for h in unique.tolist()), dtype=np.int64, count=len(unique))
+        found = self.table.find(unique)
         new = np.flatnonzero(found < 0)
         if len(new):
-            raw, base = data.tobytes(), len(self.slot)
+            raw, base = data.tobytes(), self.table.n
             encoded = [self.encode(raw[a:b]) for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())]
-            self.slot.update(zip(unique[new].tolist(), range(base, base + len(new))))
+            self.table.add(unique[new], np.arange(base, base + len(new), dtype=np.int32))
             count = np.fromiter(map(len, encoded), dtype=np.int32, count=len(new))
-            flat = np.fromiter((i for e in encoded for i in e), dtype=np.int32, count=int(count.sum()))
-            need = base + len(new)
-            if need > len(self.count):
-                self.count = np.concatenate([self.count, np.zeros(need, dtype=np.int32)])
-                self.at = np.concatenate([self.at, np.zeros(need, dtype=np.int64)])
-            if self.used + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(self.used + len(flat), dtype=np.int32)])
+            flat = np.fromiter(itertools.chain.from_iterable(encoded), dtype=np.int32, count=int(count.sum()))
+            need, full = base + len(new), self.used + len(flat)
+            self.count, self.at, self.ids = _room(self.count, need), _room(self.at, need), _room(self.ids, full)
             self.count[base:need] = count
             self.at[base:need] = self.used + np.cumsum(count) - count
-            self.ids[self.used : self.used + len(flat)] = flat
-            self.used += len(flat)
+            self.ids[self.used : full] = flat
+            self.used = full
             found[new] = np.arange(base, need)
         return found[inverse]
 
@@ -195,12 +256,17 @@ class PieceCache:
         count = self.count[slots].astype(np.int64)
         out = np.zeros(len(count), dtype=np.int64)
         np.cumsum(count[:-1], out=out[1:])
-        return self.ids[np.arange(int(count.sum())) + np.repeat(self.at[slots] - out, count)]
+        return self.ids[np.arange(int(count.sum())) + np.repeat(self.at[slots].astype(np.int64) - out, count)]
+
+
+def _room(array: np.ndarray, need: int) -> np.ndarray:
+    """``array`` with room for ``need`` numbers."""
+    return array if need <= len(array) else np.concatenate([array, np.zeros(need + need // 2 - len(array), dtype=array.dtype)])
 
 
 def tokenize(column: pa.Array, cache: PieceCache) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, ids, offsets of the rows' ids) of successive runs of rows."""
-    for i, j, data, offsets in spans.chunks(column):
+    for i, j, data, offsets in spans.chunks(column, spans.CHUNK >> 1):
         starts = spans.pretokens(data, offsets)
         ends = np.append(starts[1:], len(data))
         slots = cache.slots(data, starts, ends, spans.span_hashes(data, starts, ends))

@@ -2,7 +2,7 @@
 
 Offline, once per worker, it is proved for each vocabulary string that it is one pre-token under the cutting pattern
 and that the exact merges leave it whole. A pre-token that equals such a string counts as one token without any
-merge; only the others are merged, each distinct one once (``bpe.PieceCache``).
+merge; only the others are merged, each distinct one once (``bpe.CountCache``).
 
 Strings are compared by a 64-bit hash; a false match would need a collision with one of about 50,000 hashes, about
 3e-15 for a distinct pre-token.
@@ -47,7 +47,7 @@ def _is_text(token: bytes) -> bool:
     return True
 
 
-_proved: dict[int, np.ndarray] = {}
+_proved: dict[int, tuple[np.ndarray, bpe.CountCache]] = {}
 
 
 def count_tokens(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -57,15 +57,15 @@ def count_tokens(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_
     schema = T.StructType([T.StructField(id_col, rows.schema["id"].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("n_whole", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, cache = bpe.worker_vocab(ranks.value)
+        vocab, _ = bpe.worker_vocab(ranks.value)
         if id(vocab) not in _proved:
             _proved.clear()
-            _proved[id(vocab)] = whole_hashes(vocab)
-        whole = _proved[id(vocab)]
+            _proved[id(vocab)] = whole_hashes(vocab), bpe.CountCache(vocab.encode_piece)
+        whole, cache = _proved[id(vocab)]
         for batch in batches:
             ids, text = batch.column(0), batch.column(1)
             n = np.zeros((2, len(text)), dtype=np.int64)
-            for i, j, data, offsets in spans.chunks(text):
+            for i, j, data, offsets in spans.chunks(text, spans.CHUNK >> 1):
                 starts = spans.pretokens(data, offsets)
                 ends = np.append(starts[1:], len(data))
                 h = spans.span_hashes(data, starts, ends)
@@ -73,8 +73,7 @@ def count_tokens(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_
                 rest = np.flatnonzero(~hit)
                 count = hit.astype(np.int64)
                 if len(rest):
-                    slots = cache.slots(data, starts[rest], ends[rest], h[rest])
-                    count[rest] = cache.count[slots]
+                    count[rest] = cache.counts(data, starts[rest], ends[rest], h[rest])
                 at = np.searchsorted(starts, offsets)
                 for k, x in enumerate((count, hit)):
                     n[k, i:j] = np.diff(np.concatenate([[0], np.cumsum(x, dtype=np.int64)])[at])
