@@ -5,8 +5,10 @@ of the words' hashes have it. Two texts with cosine c of their word sets differ
 
 Index. Texts with one fingerprint are one node, so exact copies cost nothing more. A node is posted once for each byte
 position but the last two, under that position and its byte there; inside such a list nodes meet if they share two more
-bytes, at any two later positions. So any two nodes that share three bytes meet, in the list of the first of them. Lists
-stream through numpy, sorted by key, and each pair of positions is one sort of packed integers:
+bytes, at any two later positions. So any two nodes that share three bytes meet, in the list of the first of them. Where
+such lists would be longer than ``LIST`` (beyond 10**9 texts), nodes are posted under every two positions instead and meet
+on one more: the same pairs, in lists that are a 256th as long. Lists stream through numpy, sorted by key, and each pair
+of positions is one sort of packed integers:
 
 * filter: at least ``max(3, BYTES - max_distance)`` shared bytes, tallied for pairs that nothing connects so far: what
   any pair within the distance is sure to have or, where the distance reaches BYTES - 2 and less is sure, what a meeting
@@ -18,9 +20,9 @@ than m edges; none is capped. Groups are the connected components of all edges.
 fewer than three bytes: none up to 29 bits, under 1 % of those at 45 to 48 bits (measured on random texts); the texts
 of a group are found through each other as well (recall against brute force is tested, by band of distance).
 
-Postings are ``BYTES - 2`` rows of 40 bytes for each distinct fingerprint, a list holds about a 256th of the nodes, and
-the pairs that meet by chance are a 1 / 2**24 of all for each of the 4960 position triples, so that verifying grows with
-the square of the corpus beyond some 10**8 texts.
+Postings are ``BYTES - 2`` rows of 40 bytes for each distinct fingerprint (465 where lists are of two positions), and the
+pairs that meet by chance are a 1 / 2**24 of all for each of the 4960 position triples, so that verifying grows with the
+square of the corpus beyond some 10**8 texts.
 
 Rows: a null text, or one without words, has no fingerprint and is never a duplicate. Repeated rows (one id, one
 text) are duplicates of each other; ids may be null. The first by (id, hash of the text) stays for its group, null ids
@@ -30,6 +32,7 @@ here are safe; ``drop_duplicates`` keeps all columns.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,12 +48,13 @@ BYTES = 32
 MAX_DISTANCE = 48
 SHARED = 3
 PAIRS = 1 << 18
+LIST = 1 << 22
 _SALTS = np.random.default_rng(5).integers(1, 1 << 63, BYTES // 8, dtype=np.uint64)
 
 
-def positions() -> list[np.ndarray]:
-    """The later byte positions, for each that has two of them: where nodes that share its byte may meet."""
-    return [np.arange(i + 1, BYTES) for i in range(BYTES - SHARED + 1)]
+def tables(depth: int = 1) -> list[tuple[tuple[int, ...], np.ndarray]]:
+    """The byte positions that nodes are posted under, ``depth`` at a time, each with the later ones where they may meet."""
+    return [(named, np.arange(named[-1] + 1, BYTES)) for named in itertools.combinations(range(BYTES), depth) if named[-1] < BYTES - SHARED + depth]
 
 
 def fingerprints(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -101,17 +105,17 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(data, np.uint8, BYTES * len(column), start).reshape(-1, BYTES) if len(column) else np.zeros((0, BYTES), np.uint8)
 
 
-def link(key: np.ndarray, fp: np.ndarray, where: list[np.ndarray] | np.ndarray, max_distance: int = MAX_DISTANCE) -> tuple[np.ndarray, np.ndarray]:
+def link(key: np.ndarray, fp: np.ndarray, where: list[np.ndarray] | np.ndarray, max_distance: int = MAX_DISTANCE, more: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """Rows sorted by key (table << 16 | what a list shares): the edges (a, b) of a forest over the verified pairs of its lists.
 
-    Rows of a list meet if they share two of the bytes at ``where[table]``.
+    Rows of a list meet if they share ``more`` (1 or 2) of the bytes at ``where[table]``.
     """
     n, label = len(key), np.arange(len(key))
     if n > 1:  # rows that are alone in their list meet nobody
         rows = _runs(key)
         table = key[rows] >> 16
         for t in np.unique(table).tolist():
-            _probe(rows[table == t], key, fp, where[t], label, max_distance)
+            _probe(rows[table == t], key, fp, where[t], label, max_distance, more)
     b = np.flatnonzero(label != np.arange(n))
     return label[b], b
 
@@ -122,14 +126,16 @@ def _runs(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(same[1:] | same[:-1])
 
 
-def _probe(rows: np.ndarray, key: np.ndarray, fp: np.ndarray, where: np.ndarray, label: np.ndarray, max_distance: int) -> None:
-    """Join in ``label`` what verified pairs connect, among ``rows`` of one table, for each pair of positions of ``where``."""
+def _probe(rows: np.ndarray, key: np.ndarray, fp: np.ndarray, where: np.ndarray, label: np.ndarray, max_distance: int, more: int) -> None:
+    """Join in ``label`` what verified pairs connect, among ``rows`` of one table, for each ``more`` positions of ``where``."""
     part, low = np.ascontiguousarray(fp[rows][:, where].T), len(rows).bit_length()
     wide = np.ascontiguousarray(fp).view(np.uint64)
-    at = np.append(0, np.cumsum(key[rows][1:] != key[rows][:-1])) << 16 + low | np.arange(len(rows))  # list, two bytes, row
-    for j in range(len(where) - 1):
-        first = np.sort(at | part[j].astype(np.int64) << 8 + low)
-        first = first[_runs(first >> low)]
+    at = np.append(0, np.cumsum(key[rows][1:] != key[rows][:-1])) << 8 * more + low | np.arange(len(rows))  # list, bytes, row
+    for j in range(len(where) - 1) if more == 2 else (-1,):
+        first = at
+        if more == 2:
+            first = np.sort(at | part[j].astype(np.int64) << 8 + low)
+            first = first[_runs(first >> low)]
         rest = part[j + 1 :, first & (1 << low) - 1]
         for second in rest if len(first) else ():
             both = second.astype(np.int64)
@@ -191,28 +197,33 @@ def _hook(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
-def _postings(nodes: DataFrame, tables: int) -> DataFrame:
+def _postings(nodes: DataFrame, named: list[tuple[int, ...]]) -> DataFrame:
+    """(key, fp): each node under the bytes that it has at the positions of each table."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = _matrix(batch.column(0))
-            for k in range(0, len(fp), 8192):
-                part = fp[k : k + 8192]
-                key = part[:, :tables].astype(np.int64) | np.arange(tables, dtype=np.int64) << 16
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), _binary(np.repeat(part, tables, axis=0))], names=["key", "fp"])
+            for k in range(0, len(fp), 8192 * 30 // len(named)):
+                part = fp[k : k + 8192 * 30 // len(named)]
+                key = np.zeros((len(part), len(named)), dtype=np.int64)
+                for column in np.array(named).T:
+                    key = key << 8 | part[:, column]
+                key |= np.arange(len(named), dtype=np.int64) << 16
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), _binary(np.repeat(part, len(named), axis=0))], names=["key", "fp"])
 
     return nodes.mapInArrow(run, "key long, fp binary")
 
 
-def edges(nodes: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
+def edges(nodes: DataFrame, max_distance: int = MAX_DISTANCE, depth: int = 1) -> DataFrame:
     """(a, b) with a < b: links that connect the fingerprints of ``nodes`` (fp binary, distinct) as verified pairs do."""
-    where = positions()
+    named, where = zip(*tables(depth))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def out() -> pa.RecordBatch:
             key, fp = np.concatenate([k for k, _ in held]), np.concatenate([f for _, f in held])
-            a, b = link(key, fp, where, max_distance)
+            a, b = link(key, fp, where, max_distance, SHARED - depth)
             return pa.RecordBatch.from_arrays([_binary(fp[a]), _binary(fp[b])], names=["a", "b"])
 
         for batch in batches:  # rows come sorted by key; the last key's rows wait for the next batch
@@ -229,7 +240,7 @@ def edges(nodes: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
         if held:
             yield out()
 
-    posted = _postings(nodes.select("fp"), len(where)).repartition("key").sortWithinPartitions("key")
+    posted = _postings(nodes.select("fp"), named).repartition("key").sortWithinPartitions("key")
     found = posted.mapInArrow(run, "a binary, b binary")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -259,6 +270,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, **search: int) -> Data
     """(id, th, gid) of all rows that are in a group of two rows at least."""
     fps = session.cut(with_fingerprints(docs, id_col, text_col).where("fp is not null"))
     nodes = fps.groupBy("fp").agg(F.count("*").alias("rows"))
+    search.setdefault("depth", 1 if fps.count() <= 256 * LIST else 2)
     roots = components(edges(nodes, **search))
     near = roots.select(F.col("node").alias("fp"), F.col("root").alias("gid"))
     near = near.unionByName(roots.select(F.col("root").alias("fp"), F.col("root").alias("gid")).distinct())

@@ -57,6 +57,8 @@ def test_against_brute_force(spark):
     planted = [(i, j) for i in range(n) for j in range(i + 1, n) if group[i] == group[j]]
     assert np.mean([got[a] == got[b] for a, b in planted]) >= 0.95
     assert all(group[a] == group[b] for a, b in found)
+    deeper = [(r.doc_id, r.duplicate_of) for r in simhash.duplicates(docs, depth=2).collect()]
+    assert sorted(deeper) == sorted(found)
     kept = {r.doc_id for r in simhash.drop_duplicates(docs).collect()}
     assert kept == set(range(n)) - {a for a, _ in found}
     assert len({g for i, g in enumerate(group) if i in kept}) == len(set(group))
