@@ -68,3 +68,16 @@ def cut(df: DataFrame) -> DataFrame:
     path = scratch(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+SMALL = 32 << 20
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """``table``, as read from files, for work that takes far longer than reading: a small one is dealt to all cores.
+
+    A file's row group is one task, so a table of one group would be worked on by one core. Only what is smaller than
+    ``SMALL`` bytes is shuffled; larger tables have their groups.
+    """
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return table.repartition(table.sparkSession.sparkContext.defaultParallelism) if size < SMALL else table
