@@ -32,7 +32,7 @@ def suffix_rules() -> hosts.Rules:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return session.spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
