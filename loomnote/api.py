@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from loomnote import schemas, session
 from loomnote.functions import text as X
-from loomnote.operators import graph, lifecycle, notes, search
+from loomnote.operators import events, graph, lifecycle, notes, search
+from loomnote.operators.embedder import OnnxEmbedder
 from loomnote.sources import vault
 
 
@@ -20,20 +21,27 @@ VECTORS = schemas.struct("sha256 string, embedding_model string, chunking_versio
 EMBED_ROUND = 100_000  # sections
 
 
-def _where(root: str | None, index: str | None) -> tuple[Path, str]:
-    base = Path(root).resolve() if root else vault.find_root()
-    return base, index or str(base / ".obsidian" / "note_index")
+def _where(root: str | None, index: str | None) -> tuple[str, str]:
+    base = str(root) if root and ":" in str(root).split("/")[0] else str(Path(root).resolve() if root else vault.find_root())  # a URI stays as it is
+    return base, index or f"{base.rstrip('/')}/.obsidian/note_index"
 
 
-def build_index(spark: SparkSession, root: str | None = None, index: str | None = None, skip_embeddings: bool = False, embedder: search.Embedder | None = None) -> dict:
+def build_index(spark: SparkSession, root: str | None = None, index: str | None = None, skip_embeddings: bool = False, embedder: search.Embedder | None = None, embed_round: int = EMBED_ROUND) -> dict:
     """Parse all notes, reuse the vectors of texts that didn't change, embed the others, write a new snapshot.
 
-    Without an embedder, or with ``skip_embeddings``, new texts have no vector. Returns the counts.
+    Without an embedder, or with ``skip_embeddings``, new texts have no vector. Vectors are kept ``embed_round`` at a time:
+    128 suits a folder of notes on a slow machine, the default a cluster. Returns the counts.
     """
     session.ship(spark)
     base, folder = _where(root, index)
-    store, started = lifecycle.Store(spark, folder), datetime.now(timezone.utc)
-    run = store.new_run()
+    store = lifecycle.Store(spark, folder)
+    with store.lock():
+        return _build(spark, store, base, skip_embeddings, embedder, embed_round)
+
+
+def _build(spark: SparkSession, store: lifecycle.Store, base: str, skip_embeddings: bool, embedder: search.Embedder | None, embed_round: int) -> dict:
+    run, started = store.new_run(), datetime.now(timezone.utc)
+    store.compact("vectors", ["sha256", "embedding_model", "chunking_version"])
     parsed = store.write(run, "parsed", notes.parse_files(vault.read_notes(spark, base)))
     note_rows = store.write(run, "notes", notes.notes(parsed).select(*schemas.NOTES.names))
     fresh = notes.sections(parsed)
@@ -45,7 +53,7 @@ def build_index(spark: SparkSession, root: str | None = None, index: str | None
     if embedder and not skip_embeddings:
         todo = joined.where("vector is null")
         made = todo.count()
-        rounds = max(1, -(-made // EMBED_ROUND))
+        rounds = max(1, -(-made // embed_round))
         for k in range(rounds):  # each round's vectors are kept, whatever happens to the next
             part = todo.where(F.pmod(F.xxhash64("id"), F.lit(rounds)) == k)
             vectors = search.embed(part, embedder, schemas.DIMENSIONS).select("sha256", F.lit(schemas.MODEL).alias("embedding_model"), F.lit(schemas.CHUNKING).alias("chunking_version"), "vector")
@@ -60,9 +68,8 @@ def build_index(spark: SparkSession, root: str | None = None, index: str | None
     resolved = graph.resolve(notes.raw_links(parsed), note_rows)
     edge_rows = store.write(run, "edges", graph.distinct_edges(resolved))
     for name, docs, key, words in (("sections", section_rows, "id", F.col("text")), ("titles", note_rows, "path", X.stem(F.col("path")))):
-        tokens = X.folded_tokens(words)
-        store.write(run, f"{name}_postings", search.postings(docs, key, tokens).repartitionByRange("term").sortWithinPartitions("term"))
-        store.write(run, f"{name}_stats", search.statistics(docs, tokens))
+        index = store.write(run, f"{name}_postings", search.postings(docs, key, words).repartitionByRange("term").sortWithinPartitions("term"))
+        store.write(run, f"{name}_stats", search.statistics(docs, index))
     failed = notes.errors(parsed)
     old_notes = store.table("notes", schemas.NOTES) if store.exists() else spark.createDataFrame([], schemas.NOTES)
     gone = lifecycle.stale(old_notes, note_rows, "path").count(), lifecycle.stale(old, section_rows, "id").count()
@@ -73,8 +80,9 @@ def build_index(spark: SparkSession, root: str | None = None, index: str | None
     run_id = (runs.agg(F.max("id")).first()[0] or 0) + 1
     status = "metadata-only" if skip_embeddings or not embedder else "complete"
     store.append("index_errors", failed.select(F.lit(run_id).cast("long").alias("run_id"), "path", "stage", "message"))
-    store.append("index_runs", spark.createDataFrame([(run_id, started, datetime.now(timezone.utc), str(base), status, n_notes, counts[0], counts[1], n_errors)], schemas.RUNS).coalesce(1))
+    store.append("index_runs", spark.createDataFrame([(run_id, started, datetime.now(timezone.utc), base, status, n_notes, counts[0], counts[1], n_errors)], schemas.RUNS).coalesce(1))
     last = (store.current() or {}).get("run", run)
+    store.put({"schema_version": schemas.SCHEMA_VERSION, "embedding_model": schemas.MODEL, "chunking_version": schemas.CHUNKING})
     store.commit(run)
     store.prune({run, last})
     print(f"{n_notes:,} notes, {counts[0]:,} sections, {n_links:,} links ({edge_rows.count():,} distinct).")
@@ -83,6 +91,40 @@ def build_index(spark: SparkSession, root: str | None = None, index: str | None
     return {"notes": n_notes, "sections": counts[0], "links": n_links, "vectors": counts[1], "errors": n_errors, "run_id": run_id}
 
 
+def append_link_events(store: lifecycle.Store, log: DataFrame) -> None:
+    """Append the link events of a git log (``vault.git_log``) to the index; a log given twice counts twice."""
+    with store.lock():
+        store.append("link_events", events.link_history(log).select(*schemas.LINK_EVENTS.names))
+
+
+def index_history(spark: SparkSession, log: str, index: str, embedder: search.Embedder | None = None, authors: list[str] | None = None, since: str | None = None, until: str | None = None) -> int:
+    """Append what ``git log -p`` output at ``log`` says of links and of deleted text, the latter by some authors and days; returns the deleted chunks."""
+    session.ship(spark)
+    store, lines = lifecycle.Store(spark, index), vault.git_log(spark, log)
+    append_link_events(store, lines)
+    gone = session.cut(events.scoped(events.deleted_chunks(lines), authors, since, until).withColumn("sha256", F.sha2("text", 256)))
+    if embedder:
+        once = gone.select("sha256", "text").dropDuplicates(["sha256"]).withColumn("id", F.col("sha256"))
+        gone = gone.join(search.embed(once, embedder, schemas.DIMENSIONS).select("sha256", "vector"), "sha256", "left")
+    with store.lock():
+        store.append("git_history_chunks", schemas.evolve(gone, schemas.DELETED_CHUNKS))
+    return gone.count()
+
+
+def search_history(spark: SparkSession, query: str, embedder: search.Embedder, index: str, authors: list[str] | None = None, since: str | None = None, until: str | None = None, limit: int = 10) -> list[dict]:
+    """Deleted chunks by similarity: raw_sim, path, sha, date, author, text."""
+    session.ship(spark)
+    rows = events.scoped(lifecycle.Store(spark, index).log("git_history_chunks", schemas.DELETED_CHUNKS), authors, since, until)
+    near = search.cosine(rows.where("vector is not null"), _unit(embedder, query)).drop("vector")
+    return [r.asDict() for r in near.orderBy(F.col("raw_sim").desc(), "sha", "path", "text").limit(limit).collect()]
+
+
+def _unit(embedder: search.Embedder, query: str) -> list[float]:
+    v = [float(x) for x in embedder([query])[0]]
+    norm = sum(x * x for x in v) ** 0.5 or 1.0
+    return [x / norm for x in v]
+
+
 def _opened(spark: SparkSession, root: str | None, index: str | None) -> lifecycle.Store | None:
     session.ship(spark)
     store = lifecycle.Store(spark, _where(root, index)[1])
@@ -96,9 +138,7 @@ def _results(store: lifecycle.Store, query: str, embedder: search.Embedder | Non
     sections = store.table("sections", schemas.SECTIONS)
     vector = None
     if embedder:
-        v = list(embedder([query])[0])
-        norm = sum(x * x for x in v) ** 0.5
-        vector = [x / norm for x in v] if norm > 0 else v
+        vector = _unit(embedder, query)
     elif sections.where("vector is not null").limit(1).count():
         print("There is no embedder: lexical results only.")
     return search.hybrid(sections, store.table("sections_postings"), store.table("sections_stats"), query, vector, schemas.MODEL, schemas.CHUNKING, limit)
@@ -117,10 +157,7 @@ def semantic_search(spark: SparkSession, query: str, embedder: search.Embedder,
     store = _opened(spark, None, index)
     if store is None:
         return []
-    v = list(embedder([query])[0])
-    norm = sum(x * x for x in v) ** 0.5 or 1.0
-    q = F.array(*(F.lit(float(x / norm)).cast("float") for x in v))
-    rows = search.cosine(store.table("sections", schemas.SECTIONS).where("vector is not null"), q)
+    rows = search.cosine(store.table("sections", schemas.SECTIONS).where("vector is not null"), _unit(embedder, query))
     return [(r.raw_sim, r.path, r.heading, r.start_line) for r in rows.orderBy(F.col("raw_sim").desc(), "id").limit(top_k).collect()]
 
 
@@ -187,20 +224,22 @@ def main(argv: list[str] | None = None) -> int:
     for flag, what in (("skip-embeddings", "no new vectors"), ("stats", "counts and the last run")):
         p.add_argument(f"--{flag}", help=what, action=argparse.BooleanOptionalAction, default=False)
     p.add_argument("--limit", help="most search results", default=10, type=int)
+    p.add_argument("--model", help="folder of model.onnx and tokenizer.json; without it, only lexical search")
     a = p.parse_args(argv)
+    model = OnnxEmbedder(a.model) if a.model else None
     spark = SparkSession.builder.appName("loomnote").getOrCreate()
     if a.stats:
         print_stats(spark, a.vault, a.db)
     elif a.search:
-        for k, r in enumerate(search_index(spark, a.search, a.vault, a.db, a.limit), 1):
+        for k, r in enumerate(search_index(spark, a.search, a.vault, a.db, a.limit, model), 1):
             ranks = ", ".join(f"{n[:3]} {r[n]}" for n in ("lex_rank", "vec_rank") if r[n] is not None)
             print(f"{k}. {r['path']}:{r['start_line']} #{r['heading']} ({r['score']:.4f}; {ranks})" + (f"\n   {r['snippet']}" if r["snippet"] else ""))
     elif a.check_duplicate:
-        check_duplicate(spark, a.check_duplicate, a.vault, a.db)
+        check_duplicate(spark, a.check_duplicate, a.vault, a.db, model)
     elif a.links:
         query_links(spark, a.links, a.vault, a.db)
     else:
-        build_index(spark, a.vault, a.db, a.skip_embeddings)
+        build_index(spark, a.vault, a.db, a.skip_embeddings, model)
     return 0
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from typing import NamedTuple
@@ -121,6 +122,16 @@ def estimate(text: str) -> int:
     return sum(max(1, -(-len(p) // 4)) if p.isalnum() or p == "_" else 1 for p in _PIECE.findall(text))
 
 
+@functools.lru_cache(1 << 16)
+def _short_cost(word: str) -> int:
+    return estimate(word) + 1
+
+
+def _cost(word: str) -> int:
+    """A word's cost in a window."""
+    return _short_cost(word) if len(word) < 40 else estimate(word) + 1
+
+
 def windows(costs: list[int], start_cost: int) -> list[tuple[int, int]]:
     """[first, last) word ranges within the budget, each beginning with up to OVERLAP of the one before."""
     out, lo, n = [], 0, len(costs)
@@ -143,11 +154,11 @@ def windows(costs: list[int], start_cost: int) -> list[tuple[int, int]]:
 def chunk_texts(title: str, content: str) -> list[str]:
     """Chunks of a section, each headed by its title."""
     name, words = title.strip() or "Untitled", content.split()
-    flat = " ".join(words)
-    if estimate(f"{name} {flat}") <= BUDGET:
-        return [f"{name}\n{flat}"]
-    costs = [estimate(w) + 1 for w in words]
-    return [f"{name}\n{' '.join(words[a:b])}" for a, b in windows(costs, estimate(name) + 1)]
+    costs = [_cost(w) for w in words]
+    start = estimate(name) + 1
+    if start + sum(costs) - len(words) - 1 <= BUDGET:  # no piece goes over a space, so a text costs what its words do
+        return [f"{name}\n{' '.join(words)}"]
+    return [f"{name}\n{' '.join(words[a:b])}" for a, b in windows(costs, start)]
 
 
 def chunks(stem: str, body: str, line: int) -> list[Chunk]:

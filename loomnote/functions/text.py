@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import re
+import sys
 import unicodedata
 
 import pandas as pd
@@ -18,11 +20,6 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))
 
 
-def word_count(text: Column) -> Column:
-    """Words between white space; 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"(?U)\S+")), F.lit(0)).cast("int")
-
-
 def token_estimate(text: Column) -> Column:
     """A quarter of the characters, rounded up, of each word of letters and digits; 1 for any other word or mark."""
     words = F.regexp_extract_all(text, F.lit(r"(?U)\w+|[^\w\s]"), F.lit(0))
@@ -30,13 +27,6 @@ def token_estimate(text: Column) -> Column:
     return F.coalesce(F.aggregate(cost, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0)).cast("long")
 
 
-def key_lines(body: Column, most: int = 15) -> Column:
-    """The first lines that are headings or list items, each cut at 200 characters."""
-    lines = F.transform(F.split(body, "\n"), lambda x: F.regexp_replace(x, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
-    picked = F.slice(F.filter(lines, lambda x: x.startswith("#") | x.startswith("- ")), 1, most)
-    return F.array_join(F.transform(picked, lambda x: F.when(F.length(x) > 200, F.concat(F.substring(x, 1, 200), F.lit("..."))).otherwise(x)), "\n")
-
-
 def category(path: Column) -> Column:
     """daily, review, work, work/<project> or general, by the path alone."""
     name, parts = F.substring_index(path, "/", -1), F.split(path, "/")
@@ -74,15 +64,18 @@ def casefold(value: pd.Series) -> pd.Series:
     return value.map(str.casefold, na_action="ignore")
 
 
-def fold_tokens(text: str) -> list[str]:
-    """Case and accents folded; runs of letters and digits (an underscore parts them)."""
-    plain = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
-    return re.findall(r"[^\W_]+", plain.lower())
+@functools.cache
+def _combining() -> re.Pattern:
+    return re.compile("[" + "".join(re.escape(chr(c)) for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c))) + "]+")
+
+
+_RUN = re.compile(r"[^\W_]+")
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def folded_tokens(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: [] if t is None or t != t else fold_tokens(t))
+def fold_tokens(text: str) -> list[str]:
+    """Case and accents folded; runs of letters and digits (an underscore parts them)."""
+    plain = text if text.isascii() else _combining().sub("", unicodedata.normalize("NFKD", text))
+    return _RUN.findall(plain.lower())
 
 
 def query_phrases(query: str) -> list[list[str]]:

@@ -56,6 +56,15 @@ def deleted_chunks(log: DataFrame) -> DataFrame:
     return lines.join(flush, ["file", "island"]).select("sha", "date", "author", "path", "text")
 
 
+def scoped(rows: DataFrame, authors: list[str] | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Rows (author, date) of authors whose name has any of ``authors``, from the day ``since`` on and before ``until``; ISO dates."""
+    if authors:
+        rows = rows.where(F.exists(F.array(*map(F.lit, authors)), lambda a: F.contains("author", a)))
+    if since:
+        rows = rows.where(F.col("date") >= since)
+    return rows.where(F.col("date") < until) if until else rows
+
+
 def lifetimes(events: DataFrame, source: str, target: str, event: str, at: str, order: list[str]) -> DataFrame:
     """Edges whose last event is a removal: born, died, adds, and days between."""
     last = F.max_by(event, F.struct(at, *order))

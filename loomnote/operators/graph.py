@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomnote import session
@@ -86,22 +86,20 @@ def n_hop(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, most: int = 20) -> list[str] | None:
-    """The nodes of a shortest chain between two nodes, the first by name among equals; None without one."""
+def shortest_path(edges: DataFrame, source: str, target: str) -> list[str] | None:
+    """The nodes of a shortest chain between two nodes, the first by name among equals; None if there is no chain."""
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     edge = edges.sparkSession.createDataFrame([(source, None)], "node string, via string")
     layers = []
     seen = edge
-    for _ in range(most):
+    while True:
         if edge.where(F.col("node") == target).limit(1).count():
             break
         layers.append(edge)
         edge = session.cut(edge.join(both, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("via")).join(seen.select("node"), "node", "left_anti"))
         if not edge.limit(1).count():
             return None
-        seen = seen.unionByName(edge)
-    else:
-        return None
+        seen = session.cut(seen.unionByName(edge))
     chain = [target]
     for layer in [edge, *reversed(layers)]:
         via = layer.where(F.col("node") == chain[-1]).first().via
@@ -132,7 +130,3 @@ def as_of(links: DataFrame, revisions: DataFrame, key: str, at: str, since: str,
     right = revisions.select(F.col(key).alias("_k"), F.col(since).alias("_t"), F.lit(0).alias("_o"), F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), F.col(value).alias("_v"))
     past = Window.partitionBy("_k").orderBy("_t", "_o", "_v").rowsBetween(Window.unboundedPreceding, 0)
     return left.unionByName(right).withColumn("_last", F.last("_v", ignorenulls=True).over(past)).where("_o = 1").select(F.col("_k").alias(key), "_row.*", F.col("_last").alias(value))
-
-
-def lookup_edges(spark: SparkSession, pairs: list[tuple[str, str]]) -> DataFrame:
-    return spark.createDataFrame(pairs, "src string, dst string")

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +22,12 @@ def by_id(new: DataFrame, old: DataFrame, model: str, chunking: str) -> DataFram
 
 
 def by_hash(new: DataFrame, old: DataFrame, model: str, chunking: str) -> DataFrame:
-    """(id, vector) by the text's hash; equal texts have equal vectors, so any one will do."""
+    """(id, vector) by the text's hash; equal texts have equal vectors, so any one will do.
+
+    Hashes are matched before vectors are grouped, so those of texts that are gone aren't shuffled with their vectors.
+    """
     valid = old.where(F.col("vector").isNotNull() & (F.col("embedding_model") == model) & (F.col("chunking_version") == chunking))
+    valid = valid.select("sha256", "vector").join(new.select("sha256").distinct(), "sha256", "left_semi")
     one = valid.groupBy("sha256").agg(F.any_value("vector").alias("vector"))
     return new.select("id", "sha256").join(one, "sha256").select("id", "vector")
 
@@ -27,7 +35,7 @@ def by_hash(new: DataFrame, old: DataFrame, model: str, chunking: str) -> DataFr
 def reuse(new: DataFrame, old: DataFrame, model: str, chunking: str) -> DataFrame:
     """``new`` with ``vector`` and ``reused``: id, hash or null where the section has to be embedded."""
     a = by_id(new, old, model, chunking).withColumnRenamed("vector", "va")
-    b = by_hash(new, old, model, chunking).withColumnRenamed("vector", "vb")
+    b = by_hash(new.join(a.select("id"), "id", "left_anti"), old, model, chunking).withColumnRenamed("vector", "vb")
     rows = new.join(a, "id", "left").join(b, "id", "left")
     return rows.withColumn("vector", F.coalesce("va", "vb")).withColumn("reused", F.when(F.col("va").isNotNull(), "id").when(F.col("vb").isNotNull(), "hash")).drop("va", "vb")
 
@@ -52,9 +60,12 @@ class Store:
 
     A build writes its tables to ``runs/<name>`` and then flips ``CURRENT``, a small file that names the snapshot, by
     one rename: readers see the old tables or the new ones. Vectors are appended to ``vectors`` as they are made, so a
-    build that breaks off has lost none. The run log and the errors are appended to.
+    build that breaks off has lost none. The run log and the errors are appended to. One build writes at a time: it holds
+    ``LOCK``, a file that only one can create; others wait, and take over what was left behind ``ABANDONED`` seconds ago.
     """
 
+    BUSY, ABANDONED = 60.0, 12 * 3600.0
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
         jvm = spark._jvm
@@ -86,9 +97,56 @@ class Store:
     def append(self, name: str, rows: DataFrame) -> None:
         rows.write.mode("append").parquet(f"{self.folder}/{name}")
 
+    @contextmanager
+    def lock(self, wait: float | None = None) -> Iterator[None]:
+        """Hold the writer's lock; TimeoutError if another build has it for longer than ``wait`` seconds."""
+        path, until = self._path(f"{self.folder}/LOCK"), time.monotonic() + (self.BUSY if wait is None else wait)
+        self._fs.mkdirs(self._path(self.folder))
+        while not self._created(path):
+            if self._fs.exists(path) and time.time() - self._fs.getFileStatus(path).getModificationTime() / 1000 > self.ABANDONED:
+                self._fs.delete(path, False)
+            elif time.monotonic() > until:
+                raise TimeoutError(f"another build writes to {self.folder}")
+            else:
+                time.sleep(min(1.0, max(0.0, until - time.monotonic()) + 0.01))
+        try:
+            yield
+        finally:
+            self._fs.delete(path, False)
+
+    def _created(self, path) -> bool:
+        try:
+            self._fs.create(path, False).close()
+        except Py4JJavaError:  # it exists
+            if not self._fs.exists(path):
+                raise
+            return False
+        return True
+
+    def compact(self, name: str, keys: list[str], files: int = 200) -> None:
+        """Write a log anew, one row for each of ``keys``, once it has more than ``files`` files. Only under the lock."""
+        at, new, old = (self._path(f"{self.folder}/{name}{suffix}") for suffix in ("", ".new", ".old"))
+        if self._fs.exists(old) and not self._fs.exists(at):  # a compaction broke off between its renames
+            self._fs.rename(old, at)
+        for rest in (new, old):
+            self._fs.delete(rest, True)
+        if not self._fs.exists(at) or self._fs.getContentSummary(at).getFileCount() <= files:
+            return
+        self.spark.read.parquet(at.toString()).dropDuplicates(keys).write.parquet(new.toString())
+        self._fs.rename(at, old)
+        self._fs.rename(new, at)
+        self._fs.delete(old, True)
+
     def meta(self) -> DataFrame:
-        """(key, value) of the current snapshot."""
-        return self.spark.createDataFrame([(k, str(v)) for k, v in (self.current() or {}).items()], schemas.META)
+        """(key, value) of the current snapshot and of what was put."""
+        rows = (self.current() or {}) | {r.key: r.value for r in self.log("meta", schemas.META).collect()}
+        return self.spark.createDataFrame([(k, str(v)) for k, v in rows.items()], schemas.META)
+
+    def put(self, values: dict[str, str]) -> None:
+        """Upsert keys of ``meta``. Only under the lock."""
+        old = {r.key: r.value for r in self.log("meta", schemas.META).collect()}
+        rows = [(k, str(v)) for k, v in (old | values).items()]
+        self.spark.createDataFrame(rows, schemas.META).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/meta")
 
     def new_run(self) -> str:
         return uuid.uuid4().hex

@@ -2,28 +2,56 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomnote import session
 from loomnote.functions import text as X
 
 K1, B, RRF_K, POOL = 1.2, 0.75, 60, 50
 
 
-def postings(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
-    """(term, id, len, positions): the inverted index; len is the document's tokens."""
-    rows = docs.select(F.col(id_col).alias("id"), tokens.alias("tokens"))
-    each = rows.select("id", F.size("tokens").alias("len"), F.posexplode("tokens").alias("at", "term"))
-    return each.groupBy("term", "id", "len").agg(F.sort_array(F.collect_list("at")).alias("positions"))
+def postings(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
+    """(term, id, len, positions): the inverted index; len is the document's tokens.
 
-
-def statistics(docs: DataFrame, tokens: Column) -> DataFrame:
+    A document is one row, so its tokens are grouped where they are found, in Arrow batches: nothing is shuffled.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
+    schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("id", rows.schema["id"].dataType), T.StructField("len", T.IntegerType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms, row, size, flat, ends = [], [], [], [], [0]
+            for k, t in enumerate([*batch.column(1).to_pylist(), None]):
+                tokens, at = X.fold_tokens(t or ""), defaultdict(list)
+                for i, w in enumerate(tokens):
+                    at[w].append(i)
+                terms += at
+                row += [k] * len(at)
+                size += [len(tokens)] * len(at)
+                for p in at.values():
+                    flat += p
+                    ends.append(len(flat))
+                if terms and (len(flat) > 1_000_000 or k == batch.num_rows):
+                    yield pa.RecordBatch.from_arrays([pa.array(terms), batch.column(0).take(pa.array(row, pa.int32())), pa.array(size, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))], names=schema.names)
+                    terms, row, size, flat, ends = [], [], [], [], [0]
+
+    return rows.mapInArrow(run, schema)
+
+
+def statistics(docs: DataFrame, index: DataFrame) -> DataFrame:
     """One row: documents, tokens. Documents without tokens count."""
-    return docs.select(F.size(tokens).alias("len")).agg(F.count("*").alias("docs"), F.coalesce(F.sum("len"), F.lit(0)).alias("tokens"))
+    tokens = index.agg(F.coalesce(F.sum(F.size("positions")), F.lit(0)).alias("tokens"))
+    return docs.agg(F.count("*").alias("docs")).crossJoin(F.broadcast(tokens))  # one row each
 
 
 def _phrase_hits(found: DataFrame, phrases: list[list[str]]) -> DataFrame:
@@ -59,34 +87,63 @@ def weigh(hits: DataFrame) -> DataFrame:
     return hits.groupBy("id").agg((-F.sum(gain)).alias("score"))
 
 
-def _count(tokens: str, term: str) -> Column:
-    return F.size(F.filter(tokens, lambda t: t == F.lit(term)))
+def term_counts(docs: DataFrame, id_col: str, text: Column, terms: list[str]) -> DataFrame:
+    """(id, len, f): the document's tokens, and how often it has each of ``terms``."""
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
+    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("len", T.IntegerType()), T.StructField("f", T.ArrayType(T.IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, f = [], []
+            for t in batch.column(1).to_pylist():
+                tokens = X.fold_tokens(t or "")
+                size.append(len(tokens))
+                f.append([tokens.count(w) for w in terms])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int32()), pa.array(f, pa.list_(pa.int32()))], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def scan_bm25(docs: DataFrame, id_col: str, text: Column, terms: list[str]) -> DataFrame:
     """bm25 straight from the texts, without an index: one scan counts only the query's terms.
 
-    The texts' tokens are counted inside each row, so what is shuffled is one row for each match.
+    The counts, a few numbers for each document, are written once; the corpus statistics and the scores come from them.
     """
-    rows = docs.select(F.col(id_col).alias("id"), X.tokens(text).alias("tokens"))
-    counted = rows.select("id", F.size("tokens").alias("len"), *(_count("tokens", w).alias(f"f{k}") for k, w in enumerate(terms)))
-    total = counted.agg(F.count("*").alias("docs"), F.avg("len").alias("mean"), *(F.count_if(F.col(f"f{k}") > 0).alias(f"n{k}") for k in range(len(terms))))
-    rows = counted.where(" or ".join(f"f{k} > 0" for k in range(len(terms)))).crossJoin(F.broadcast(total))  # one row
+    counted = session.cut(term_counts(docs, id_col, text, terms))
+    f = [F.get("f", F.lit(k)) for k in range(len(terms))]
+    total = counted.agg(F.count("*").alias("docs"), F.avg("len").alias("mean"), *(F.count_if(x > 0).alias(f"n{k}") for k, x in enumerate(f))).first()
     score = F.lit(0.0)
-    for k in range(len(terms)):
-        idf = F.log((F.col("docs") - F.col(f"n{k}") + 0.5) / (F.col(f"n{k}") + 0.5))
-        idf = F.when(idf > 0, idf).otherwise(F.lit(1e-6))
-        f = F.col(f"f{k}")
-        score = score - idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    return rows.select("id", score.alias("score"))
+    for k, x in enumerate(f):
+        idf = math.log((total.docs - total[f"n{k}"] + 0.5) / (total[f"n{k}"] + 0.5))
+        score = score - (idf if idf > 0 else 1e-6) * x * (K1 + 1) / (x + K1 * (1 - B + B * F.col("len") / (total.mean or 1.0)))
+    return counted.where(F.exists("f", lambda n: n > 0)).select("id", score.alias("score"))
+
 
+def dot(vector: Column, query: list[float]) -> Column:
+    """The dot product of each vector with ``query``: one product for a batch, in double; null where lengths differ."""
+    q = np.asarray(query, dtype=np.float64)
 
-def dot(a: Column, b: Column) -> Column:
-    """The dot product of float arrays, summed in double."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    @F.arrow_udf(T.DoubleType())
+    def product(v: pa.Array) -> pa.Array:
+        fits = np.asarray(pc.fill_null(pc.equal(pc.list_value_length(v), len(q)), False))
+        out = np.zeros(len(v))
+        flat = np.asarray(pc.fill_null(v.filter(pa.array(fits)).flatten(), np.nan), dtype=np.float64)
+        out[fits] = flat.reshape(-1, len(q)) @ q if len(q) else 0.0
+        return pa.array(out, mask=~fits)
 
+    return product(vector)
 
-def cosine(vectors: DataFrame, query: Column, vector: str = "vector") -> DataFrame:
+
+@F.arrow_udf(T.DoubleType())
+def norm(v: pa.Array) -> pa.Array:
+    """The length of each vector."""
+    count = np.asarray(pc.fill_null(pc.list_value_length(v), 0)).astype(np.int64)
+    square = np.square(np.asarray(v.flatten(), dtype=np.float64))
+    total = np.concatenate([[0], np.cumsum(square)])[np.concatenate([[0], np.cumsum(count)])]
+    return pa.array(np.sqrt(np.diff(total)), mask=~np.asarray(v.is_valid()))
+
+
+def cosine(vectors: DataFrame, query: list[float], vector: str = "vector") -> DataFrame:
     """Adds ``raw_sim``; the vectors have length 1."""
     return vectors.withColumn("raw_sim", dot(F.col(vector), query))
 
@@ -111,9 +168,8 @@ def hybrid(sections: DataFrame, index: DataFrame, stats: DataFrame, query: str,
     else:
         lex = spark.createDataFrame([], "id string, lex_rank int")
     if query_vector is not None:
-        q = F.array(*(F.lit(float(x)).cast("float") for x in query_vector))
         valid = sections.where(F.col("vector").isNotNull() & (F.col("embedding_model") == model) & (F.col("chunking_version") == chunking))
-        near = cosine(valid.select("id", "vector"), q).select("id", "raw_sim")
+        near = cosine(valid.select("id", "vector"), query_vector).select("id", "raw_sim")
         vec = ranked(near, [F.col("raw_sim").desc(), F.col("id")], POOL, "vec_rank")
     else:
         vec = spark.createDataFrame([], "id string, raw_sim double, vec_rank int")
@@ -147,7 +203,6 @@ def embed(sections: DataFrame, embedder: Embedder, dimensions: int, batch: int =
 
     ``embedder`` maps texts to vectors and is sent to the workers; a vector of another length is an error.
     """
-    import numpy as np
 
     def run(batches):
         for b in batches:
@@ -173,7 +228,3 @@ def providers(available: list[str] | None = None) -> list[str]:
             available = []
     order = [p for p in ("CUDAExecutionProvider", "DmlExecutionProvider", "CPUExecutionProvider") if p in available]
     return order or ["CPUExecutionProvider"]
-
-
-def empty_index(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "term string, id string, len int, positions array<int>")

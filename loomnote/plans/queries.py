@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomnote import session
 from loomnote.functions import text as X
 from loomnote.operators import events, graph, lifecycle, notes, search
 
@@ -34,18 +35,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _query_vector(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").where("vec_id = 0").select(F.col("embedding").alias("q")).limit(1)
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose texts are worked on at length."""
+    return session.spread(table(spark, sf_dir, name))
+
+
+def _query_vector(spark: SparkSession, d: str) -> list[float]:
+    return table(spark, d, "embeddings").where("vec_id = 0").select("embedding").first()[0]
 
 
 def _similar(spark: SparkSession, d: str) -> DataFrame:
-    """(id, raw_sim) of all vectors; the query vector is one row and is broadcast."""
-    rows = table(spark, d, "embeddings").crossJoin(F.broadcast(_query_vector(spark, d)))
-    return rows.select(F.col("vec_id").alias("id"), search.dot(F.col("embedding"), F.col("q")).alias("raw_sim"))
+    """(id, raw_sim) of all vectors."""
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), search.dot(F.col("embedding"), _query_vector(spark, d)).alias("raw_sim"))
 
 
 _SIM = "select vec_id as id, list_dot_product(embedding::double[], (select embedding from embeddings where vec_id = 0)::double[]) as raw_sim from embeddings"
 _TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+_FOLDED = r"regexp_extract_all(lower(strip_accents({})), '[\p{{L}}\p{{N}}]+')"
 
 
 @query(f"select id as vec_id, round(raw_sim, 6) as raw_sim from ({_SIM}) order by round(raw_sim, 6) desc, id limit 10")
@@ -70,14 +76,14 @@ def vector_rank50(spark, d):
 @query(f"select vec_id, n, l2, round(raw_sim, 6) as raw_sim from (select vec_id, len(embedding)::int as n, round(sqrt(list_dot_product(embedding::double[], embedding::double[])), 5) as l2 from embeddings where embedding is not null) join ({_SIM}) on id = vec_id")
 def vector_scan(spark, d):
     """Every valid vector with its length, norm and similarity: the scan behind both searches."""
-    rows = table(spark, d, "embeddings").where("embedding is not null").crossJoin(F.broadcast(_query_vector(spark, d)))
     e = F.col("embedding")
-    return rows.select("vec_id", F.size(e).alias("n"), F.round(F.sqrt(search.dot(e, e)), 5).alias("l2"), F.round(search.dot(e, F.col("q")), 6).alias("raw_sim"))
+    rows = table(spark, d, "embeddings").where("embedding is not null")
+    return rows.select("vec_id", F.size(e).alias("n"), F.round(search.norm(e), 5).alias("l2"), F.round(search.dot(e, _query_vector(spark, d)), 6).alias("raw_sim"))
 
 
 def _bm25_sql(source: str, key: str, words: str, terms: list[str]) -> str:
     listed = ", ".join(f"('{t}')" for t in terms)
-    return f"""with doc as (select {key} as id, {_TOKENS.format(words)} as tok from {source}),
+    return f"""with doc as (select {key} as id, {_FOLDED.format(words)} as tok from {source}),
 stat as (select count(*) as docs, avg(len(tok)) as mean from doc),
 hit as (select id, len(tok) as len, term, len(list_filter(tok, lambda t: t = term)) as f from doc, (values {listed}) v(term) where list_contains(tok, term)),
 num as (select term, count(*) as n from hit group by term),
@@ -92,32 +98,31 @@ def _lex50(docs: DataFrame, key: str, text, terms: list[str]) -> DataFrame:
 
 @query(_bm25_sql("documents", "doc_id", "text", TERMS) + " select * from lex")
 def bm25_topk(spark, d):
-    return _lex50(table(spark, d, "documents"), "doc_id", F.col("text"), TERMS)
+    return _lex50(texts(spark, d, "documents"), "doc_id", F.col("text"), TERMS)
 
 
 @query(_bm25_sql("documents", "doc_id", "text", TERMS) + " select id, round(score, 5) as score from bm")
 def bm25_index(spark, d):
     """All matches by way of the inverted index; the terms are pushed down to the postings."""
-    docs = table(spark, d, "documents")
-    tokens = X.tokens(F.col("text"))
-    return search.bm25(search.postings(docs, "doc_id", tokens), search.statistics(docs, tokens), [[t] for t in TERMS]).select("id", F.round("score", 5).alias("score"))
+    docs = texts(spark, d, "documents")
+    index = session.cut(search.postings(docs, "doc_id", F.col("text")))
+    return search.bm25(index, search.statistics(docs, index), [[t] for t in TERMS]).select("id", F.round("score", 5).alias("score"))
 
 
-_PHRASE = "with doc as (select doc_id, ' ' || array_to_string({}, ' ') || ' ' as s from documents) select doc_id, ((length(s) - length(replace(s, ' of the ', ''))) / 8)::int as at_least_one from doc where contains(s, ' of the ')".format(_TOKENS.format("text"))
+_PHRASE = "with doc as (select doc_id, ' ' || array_to_string({}, ' ') || ' ' as s from documents) select doc_id, ((length(s) - length(replace(s, ' of the ', ''))) / 8)::int as at_least_one from doc where contains(s, ' of the ')".format(_FOLDED.format("text"))
 
 
 @query(f"select doc_id from ({_PHRASE})")
 def phrase_match(spark, d):
     """Documents that have two tokens next to each other, by positions in the index."""
-    index = search.postings(table(spark, d, "documents"), "doc_id", X.tokens(F.col("text"))).where(F.col("term").isin("of", "the"))
+    index = search.postings(texts(spark, d, "documents"), "doc_id", F.col("text")).where(F.col("term").isin("of", "the"))
     return search._phrase_hits(index, [["of", "the"]]).select(F.col("id").alias("doc_id"))
 
 
-@query(f"select term, count(*) as docs, sum(tf)::bigint as tf from (select doc_id, term, count(*) as tf from (select doc_id, unnest({_TOKENS.format('text')}) as term from documents) group by all) group by term")
+@query(f"select term, count(*) as docs, sum(tf)::bigint as tf from (select doc_id, term, count(*) as tf from (select doc_id, unnest({_FOLDED.format('text')}) as term from documents) group by all) group by term")
 def term_statistics(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.explode(X.tokens(F.col("text"))).alias("term"))
-    each = docs.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-    return each.groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("tf"))
+    index = search.postings(texts(spark, d, "documents"), "doc_id", F.col("text"))
+    return index.groupBy("term").agg(F.count("*").alias("docs"), F.sum(F.size("positions")).alias("tf"))
 
 
 _TITLES = "(select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title from pages)"
@@ -139,13 +144,13 @@ _RRF = "coalesce(1.0 / (60 + lex_rank), 0) + coalesce(1.0 / (60 + vec_rank), 0)"
 @query(_bm25_sql("documents", "doc_id", "text", TERMS) + f", vec as ({_VEC50}) select id, lex_rank, vec_rank, raw_sim, round({_RRF}, 9) as score from lex full join vec using (id)")
 def rrf_hybrid(spark, d):
     """The fused candidates of both legs, 100 at most."""
-    lex = _lex50(table(spark, d, "documents"), "doc_id", F.col("text"), TERMS).select("id", "lex_rank")
+    lex = _lex50(texts(spark, d, "documents"), "doc_id", F.col("text"), TERMS).select("id", "lex_rank")
     return search.fuse(lex, _vec50(spark, d)).select("id", "lex_rank", "vec_rank", "raw_sim", F.round("score", 9).alias("score"))
 
 
 @query(_bm25_sql("documents", "doc_id", "text", TERMS) + " select id, lex_rank, null::int as vec_rank, null::double as raw_sim, round(1.0 / (60 + lex_rank), 9) as score from lex order by score desc, id limit 10")
 def hybrid_lexical_only(spark, d):
-    lex = _lex50(table(spark, d, "documents"), "doc_id", F.col("text"), TERMS).select("id", "lex_rank")
+    lex = _lex50(texts(spark, d, "documents"), "doc_id", F.col("text"), TERMS).select("id", "lex_rank")
     none = spark.createDataFrame([], "id long, raw_sim double, vec_rank int")
     return search.fuse(lex, none).select("id", "lex_rank", "vec_rank", "raw_sim", F.round("score", 9).alias("score")).orderBy(F.col("score").desc(), "id").limit(10)
 
@@ -177,16 +182,17 @@ def hash_reuse_groups(spark, d):
 
 def _snapshots(spark, d):
     """All documents as new sections, and an old snapshot of the same ids: by doc_id % 3, 0 unchanged, 1 without vector
-    and 2 with the hash of the next text of its source, as if texts had moved."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("sha256"), "source")
-    moved = F.coalesce(F.lead("sha256").over(Window.partitionBy("source").orderBy("id")), F.lit("none"))
+    and 2 with the hash of the next document's text, as if texts had moved."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("sha256"))
+    after = docs.select((F.col("id") - 1).alias("id"), F.col("sha256").alias("moved"))
     vector = F.when(F.col("id") % 3 != 1, F.array(F.lit(1.0).cast("float")))
-    old = docs.select("id", F.when(F.col("id") % 3 == 2, moved).otherwise(F.col("sha256")).alias("sha256"), vector.alias("vector"), F.lit("m").alias("embedding_model"), F.lit("v").alias("chunking_version"))
-    return docs.drop("source"), old
+    was = F.when(F.col("id") % 3 == 2, F.coalesce("moved", F.lit("none"))).otherwise(F.col("sha256"))
+    old = docs.join(after, "id", "left").select("id", was.alias("sha256"), vector.alias("vector"), F.lit("m").alias("embedding_model"), F.lit("v").alias("chunking_version"))
+    return docs, old
 
 
-_OLD = """with fresh as (select doc_id as id, sha256(text) as sha256, source from documents),
-old as (select id, case when id % 3 = 2 then coalesce(lead(sha256) over (partition by source order by id), 'none') else sha256 end as sha256, id % 3 <> 1 as has from fresh),
+_OLD = """with fresh as (select doc_id as id, sha256(text) as sha256 from documents),
+old as (select f.id, case when f.id % 3 = 2 then coalesce(n.sha256, 'none') else f.sha256 end as sha256, f.id % 3 <> 1 as has from fresh f left join fresh n on n.id = f.id + 1),
 a as (select fresh.id from fresh join old using (id, sha256) where has), b as (select distinct sha256 from old where has)"""
 
 
@@ -226,23 +232,12 @@ def replace_latest_turn(spark, d):
     return lifecycle.replace_latest(rows, "key", "turn").select("conv_id", "role", "turn", "text")
 
 
-@query("select doc_id, len(regexp_extract_all(text, '\\S+'))::int as words from documents")
-def word_count(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.word_count(F.col("text")).alias("words"))
-
-
 _EST = r"select {} as k, coalesce(list_sum(list_transform(regexp_extract_all({}, '[\p{{L}}\p{{N}}\p{{Mn}}_]+|[^\p{{L}}\p{{N}}\p{{Mn}}_\s]'), lambda w: case when regexp_full_match(w, '[\p{{L}}\p{{N}}]+') then (length(w) + 3) // 4 else 1 end)), 0)::bigint as estimate from {}"
 
 
 @query("select k as doc_id, estimate from (" + _EST.format("doc_id", "text", "documents") + ")")
 def token_estimate(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.token_estimate(F.col("text")).alias("estimate"))
-
-
-@query(r"""select doc_id, array_to_string(list_transform(list_filter(list_transform(string_split(replace(text, ' | ', chr(10) || '- '), chr(10)), lambda x: trim(x)), lambda x: x like '#%' or x like '- %')[1:15], lambda x: case when length(x) > 200 then left(x, 200) || '...' else x end), chr(10)) as key_lines from documents""")
-def key_lines(spark, d):
-    """Table cells count as list items here, as the texts have none."""
-    return table(spark, d, "documents").select("doc_id", X.key_lines(F.replace("text", F.lit(" | "), F.lit("\n- "))).alias("key_lines"))
+    return texts(spark, d, "documents").select("doc_id", X.token_estimate(F.col("text")).alias("estimate"))
 
 
 _PATH = r"regexp_replace(url, '^[a-z]+://[^/]+/', '')"
@@ -255,7 +250,7 @@ def category_case(spark, d):
     return table(spark, d, "pages").select("page_id", X.category(path).alias("category"))
 
 
-def _hrefs(spark, d):
+def page_links(spark, d):
     """(page_id, raw_target, start_line) of each link of each page, the line by the newlines before it."""
     pages = table(spark, d, "pages").select("page_id", F.split("html", "<a href=\"").alias("parts"))
     each = pages.select("page_id", F.posexplode("parts").alias("i", "part"), "parts").where("i > 0")
@@ -269,11 +264,11 @@ from (select page_id, string_split(html, '<a href="') as parts, unnest(range(1,
 
 @query(f"with {_HREF} select page_id, raw_target, start_line, i::int as i from href")
 def edges_extract(spark, d):
-    return _hrefs(spark, d)
+    return page_links(spark, d)
 
 
 def _edges(spark, d):
-    return graph.distinct_edges(_hrefs(spark, d).select(F.col("page_id").cast("string").alias("source_path"), "raw_target", "start_line", F.col("raw_target").alias("resolved_target_path")))
+    return graph.distinct_edges(page_links(spark, d).select(F.col("page_id").cast("string").alias("source_path"), "raw_target", "start_line", F.col("raw_target").alias("resolved_target_path")))
 
 
 _EDGE = f"{_HREF}, edge as (select distinct page_id::varchar as source_path, raw_target, start_line, raw_target as resolved_target_path from href)"
@@ -304,23 +299,6 @@ def degree(spark, d):
     return graph.degrees(_edges(spark, d))
 
 
-@query("""with p as (select page_id, lower(regexp_replace(regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]+)/?$', 1), '(.)\\.[^.]*$', '\\1')) as stem from pages),
-one as (select stem, min(page_id) as target from p group by stem having count(*) = 1) select page_id, stem, target from p left join one using (stem)""")
-def unique_stem_resolution(spark, d):
-    """A page's last path segment resolves to the one page that has it, or to none."""
-    name = F.regexp_extract(F.regexp_replace("url", r"[?#].*$", ""), r"([^/]+)/?$", 1)
-    p = table(spark, d, "pages").select("page_id", F.lower(X.stem(name)).alias("stem"))
-    one = p.groupBy("stem").agg(F.count("*").alias("n"), F.min("page_id").alias("target")).where("n = 1").drop("n")
-    return p.join(one, "stem", "left").select("page_id", "stem", "target")
-
-
-@query()
-def chunk_windows(spark, d):
-    """Every document cut into chunks, by the parser itself (tests have the goldens and a brute-force version)."""
-    files = table(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.encode("text", "UTF-8").alias("content"))
-    return notes.sections(notes.parse_files(files)).select("id", "path", "heading", "start_line", "chunk_index", "sha256")
-
-
 @query(r"""with l as (select doc_id, i::bigint as n, line, (length(line) < 30)::int as head from (select doc_id, unnest(range(0, len(string_split(text, chr(10))))) as i, unnest(string_split(text, chr(10))) as line from documents)),
 s as (select *, sum(head) over (partition by doc_id order by n)::bigint as section from l) select doc_id, section, min(n) as first, max(n) as last from s group by doc_id, section""")
 def sections_split(spark, d):
@@ -329,11 +307,6 @@ def sections_split(spark, d):
     return notes.split_sections(lines, "doc_id", "n", "line", lambda x: F.length(x) < 30)
 
 
-@query("select source, avg(quality) as mean, count(quality) as n from labels join documents using (doc_id) group by source")
-def frontmatter_mean(spark, d):
-    return table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "source"), "doc_id").groupBy("source").agg(F.avg("quality").alias("mean"), F.count("quality").alias("n"))
-
-
 @query(f"with {_EDGE} select (select count(*) from documents) as notes, (select count(*) from embeddings) as sections, (select count(embedding) from embeddings) as vectors, (select count(*) from edge) as edges")
 def index_stats(spark, d):
     e = table(spark, d, "embeddings").select(F.col("embedding").alias("vector"))
@@ -375,11 +348,6 @@ def contiguous_runs(spark, d):
     return events.islands(table(spark, d, "events"), "user_id", "event_id", "event_type")
 
 
-@query("select distinct conv_id, text from conversations where role = 'assistant'")
-def distinct_messages(spark, d):
-    return table(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "text").dropDuplicates()
-
-
 @query("select conv_id, turn, count(*) over (partition by conv_id) - row_number() over (partition by conv_id order by turn) as remaining_turns, round(length(text) * (1.25::double + 0.1::double * (count(*) over (partition by conv_id) - row_number() over (partition by conv_id order by turn))), 4) as cost from conversations")
 def effective_token_cost(spark, d):
     rows = events.effective_cost(table(spark, d, "conversations"), "conv_id", "turn", F.length("text"))
@@ -403,18 +371,6 @@ def first_n(spark, d):
     return table(spark, d, "events").where("event_type = 'signup'").orderBy("ts", "event_id").limit(10).select("event_id", "ts", "event_type")
 
 
-@query("select vec_id, label from embeddings where embedding is not null and label = 1 and len(embedding) = 64")
-def valid_vectors(spark, d):
-    """Vectors of one model version that have the right length; the filters but the last reach the scan."""
-    return table(spark, d, "embeddings").where(F.col("embedding").isNotNull() & (F.col("label") == 1) & (F.size("embedding") == 64)).select("vec_id", "label")
-
-
-@query("select conv_id, turn, text from conversations where role = 'assistant' and contains(text, 'ñ')")
-def provenance(spark, d):
-    """All turns of one role that mention something."""
-    return table(spark, d, "conversations").where("role = 'assistant' and contains(text, 'ñ')").select("conv_id", "turn", "text")
-
-
 @query("with c as (select user_id, event_id, ts from events where event_type = 'click'), v as (select user_id, ts as since, event_id as rev from events where event_type = 'view') select c.user_id, c.event_id, c.ts, v.rev from c asof left join v on c.user_id = v.user_id and c.ts >= v.since")
 def as_of_link(spark, d):
     """Each click with the user's last view at the time."""
@@ -455,8 +411,8 @@ def relative_humidity(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", rh.alias("rh"))
 
 
-def _page_graph(spark, d):
-    return _hrefs(spark, d).select(F.concat(F.lit("p"), "page_id").alias("src"), F.col("raw_target").alias("dst")).distinct()
+def page_graph(spark, d):
+    return page_links(spark, d).select(F.concat(F.lit("p"), "page_id").alias("src"), F.col("raw_target").alias("dst")).distinct()
 
 
 _GRAPH = f"{_HREF}, g as (select distinct 'p' || page_id as src, raw_target as dst from href), u as (select src, dst from g union select dst, src from g)"
@@ -465,7 +421,7 @@ _GRAPH = f"{_HREF}, g as (select distinct 'p' || page_id as src, raw_target as d
 @query(f"with recursive {_GRAPH}, r(node, hops) as (select 'p1', 0 union select dst, hops + 1 from r join u on src = node where hops < 2) select node, min(hops)::int as hops from r group by node")
 def n_hop(spark, d):
     """What is at most two steps from page 1."""
-    return graph.n_hop(_page_graph(spark, d), spark.createDataFrame([("p1",)], "node string"), 2)
+    return graph.n_hop(page_graph(spark, d), spark.createDataFrame([("p1",)], "node string"), 2)
 
 
 @query(f"with {_EDGE} select page_id::varchar as path from pages where page_id::varchar not in (select source_path from edge) and page_id::varchar not in (select resolved_target_path from edge)")
@@ -488,12 +444,14 @@ def unresolved_links(spark, d):
     return graph.unresolved(e).select("source_path", "raw_target", "start_line")
 
 
-@query("with p as (select distinct a.user_id as a, b.user_id as b from events a join events b on a.props = b.props and a.user_id < b.user_id and a.event_type = 'purchase' and b.event_type = 'purchase'), n as (select distinct user_id as a, (props->>'$.k')::bigint as b from events where event_type = 'error') select a, b from p where not exists (select 1 from n where (n.a = p.a and n.b = p.b) or (n.a = p.b and n.b = p.a))")
+@query("""with buy as (select distinct props, user_id from events where event_type = 'purchase'), p as (select distinct a, b from (select min(user_id) over (partition by props) as a, user_id as b from buy) where a < b),
+n as (select distinct user_id as a, (props->>'$.k')::bigint as b from events where event_type = 'error') select a, b from p where not exists (select 1 from n where (n.a = p.a and n.b = p.b) or (n.a = p.b and n.b = p.a))""")
 def anti_links(spark, d):
-    """Pairs of buyers of one thing, without those that an error event rules out."""
+    """Buyers of a thing beside its first buyer, without those that an error event rules out."""
     e = table(spark, d, "events")
-    buy = e.where("event_type = 'purchase'").select("props", "user_id").distinct()
-    pairs = buy.select("props", F.col("user_id").alias("a")).join(buy.select("props", F.col("user_id").alias("b")), "props").where("a < b").select("a", "b").distinct()
+    buy = e.where("event_type = 'purchase'").select("props", F.col("user_id").alias("b")).distinct()
+    first = buy.groupBy("props").agg(F.min("b").alias("a"))
+    pairs = buy.join(first, "props").where("a < b").select("a", "b").distinct()
     anti = e.where("event_type = 'error'").select(F.col("user_id").alias("a"), F.get_json_object("props", "$.k").cast("long").alias("b"))
     return graph.without_anti_links(pairs, anti, "a", "b")
 

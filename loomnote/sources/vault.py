@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -22,38 +24,64 @@ def find_root(start: str | os.PathLike | None = None) -> Path:
     return next((p for p in (here, *here.parents) if (p / ".obsidian").exists() or (p / ".git").exists()), here)
 
 
+_URI = re.compile(r"([A-Za-z][A-Za-z0-9+.-]*):(?://([^/]*))?(/.*)")
+
+
+def _open(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and path of a local folder or of a URI (file, hdfs, s3, gs), whose path isn't escaped."""
+    m = _URI.fullmatch(uri)
+    if not m or m[1] == "file":
+        return pafs.LocalFileSystem(), m[3] if m else os.path.abspath(uri)
+    where, base = pafs.FileSystem.from_uri(f"{m[1]}://{m[2] or ''}/")
+    return where, base.rstrip("/") + m[3]
+
+
 def note_paths(root: str | os.PathLike) -> list[str]:
     """Relative paths of the ``.md`` files, hidden ones too, in order of their components."""
-    found = []
-    for folder, inside, files in os.walk(root):
-        inside[:] = [d for d in inside if d not in PRUNED]
-        found += [Path(folder, f).relative_to(root).as_posix() for f in files if f.endswith(".md")]
+    where, base = _open(str(root))
+    found, todo = [], [base.rstrip("/")]
+    while todo:
+        for x in where.get_file_info(pafs.FileSelector(todo.pop(), allow_not_found=True)):
+            if x.type == pafs.FileType.Directory and x.base_name not in PRUNED:
+                todo.append(x.path)
+            elif x.type == pafs.FileType.File and x.base_name.endswith(".md"):
+                found.append(x.path[len(base.rstrip("/")) + 1 :])
     return sorted(found, key=lambda p: p.split("/"))
 
 
 def read_notes(spark: SparkSession, root: str | os.PathLike, per_task: int = 500) -> DataFrame:
-    """(path, content) of every note. Names are listed on the driver (Spark's file sources skip hidden files), contents
-    are read by the tasks, which need the folder to be shared."""
-    base, names = str(Path(root).resolve()), note_paths(root)
+    """(path, content) of every note under a folder, local or of an object store. Names are listed on the driver (Spark's
+    file sources skip hidden files), contents are read by the tasks, which need to reach the folder."""
+    base, names = str(root) if "://" in str(root) or str(root).startswith("file:") else str(Path(root).resolve()), note_paths(root)
     if not names:
         return spark.createDataFrame([], schemas.FILES)
     listed = spark.createDataFrame(pd.DataFrame({"path": names}), "path string").repartition(max(1, -(-len(names) // per_task)))
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        where, top = _open(base)
         for b in batches:
-            yield pd.DataFrame({"path": b.path, "content": [_bytes(f"{base}/{p}") for p in b.path]})
+            for k in range(0, len(b), 100):
+                part = b.path.iloc[k : k + 100]
+                yield pd.DataFrame({"path": part, "content": [_bytes(where, f"{top.rstrip('/')}/{p}") for p in part]})
 
     return listed.mapInPandas(load, schemas.FILES)
 
 
-def _bytes(path: str) -> bytes | None:
+def _bytes(where: pafs.FileSystem, path: str) -> bytes | None:
     try:
-        with open(path, "rb") as f:
+        with where.open_input_file(path) as f:
             return f.read()
     except OSError:
         return None  # the parser makes an error row of it
 
 
+def write_file(uri: str, content: bytes) -> None:
+    where, path = _open(uri)
+    where.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    with where.open_output_stream(path) as f:
+        f.write(content)
+
+
 def changed_files(files: DataFrame, cached: DataFrame) -> DataFrame:
     """Files whose MD5 isn't the cached one (path, md5): those that need work."""
     now = files.withColumn("md5", F.md5("content"))

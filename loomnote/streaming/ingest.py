@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from loomnote import schemas
-from loomnote.functions import text as X
+from loomnote import session
 from loomnote.operators import events, lifecycle, notes
 from loomnote.sources import vault
 
@@ -23,12 +22,9 @@ def ingest(stream: DataFrame, store: lifecycle.Store, checkpoint: str) -> Stream
     """Parse what has arrived, and append notes and sections, each batch once, then stop."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        parsed = notes.parse_files(rows.select("path", "content")).persist()
-        try:
-            for name, table in (("notes", notes.notes(parsed)), ("sections", notes.sections(parsed))):
-                table.write.mode("overwrite").parquet(f"{store.folder}/stream/{name}/batch={number}")  # a repeated batch replaces itself
-        finally:
-            parsed.unpersist()
+        parsed = session.cut(notes.parse_files(rows.select("path", "content")))
+        for name, table in (("notes", notes.notes(parsed)), ("sections", notes.sections(parsed))):
+            table.write.mode("overwrite").parquet(f"{store.folder}/stream/{name}/batch={number}")  # a repeated batch replaces itself
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -47,10 +43,3 @@ def call_stream(spark: SparkSession, folder: str, checkpoint: str, out: str) ->
 def windowed_counts(stream: DataFrame, at: str, kind: str, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts by kind and window, final once the watermark has passed."""
     return stream.withWatermark(at, late).groupBy(F.window(at, window).alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), kind, "n")
-
-
-def titles(stream: DataFrame) -> DataFrame:
-    return stream.select("path", X.stem(F.col("path")).alias("title"))
-
-
-SCHEMA = schemas.NOTES

@@ -49,11 +49,10 @@ def test_build_search_links(spark, tmp_path, capsys):
     assert [r["path"] for r in api.check_duplicate(spark, "Beta", root, index)] == ["folder/beta.md", "alpha.md"]  # by title, then by text
 
 
-def test_vectors_are_reused(spark, tmp_path, monkeypatch):
+def test_vectors_are_reused(spark, tmp_path):
     root = _vault(tmp_path)
     index = str(tmp_path / "index")
-    monkeypatch.setattr(api, "EMBED_ROUND", 4)
-    first = api.build_index(spark, root, index, embedder=embedder)
+    first = api.build_index(spark, root, index, embedder=embedder, embed_round=4)
     assert first["vectors"] == 9
     assert {r.key: r.value for r in lifecycle.Store(spark, index).meta().collect()}["schema_version"] == "2"
     hits = api.search_index(spark, "linked destination", root, index, embedder=embedder)
@@ -80,3 +79,93 @@ def test_empty_vault(spark, tmp_path):
     counts = api.build_index(spark, str(tmp_path), str(tmp_path / "index"))
     assert counts == {"notes": 0, "sections": 0, "links": 0, "vectors": 0, "errors": 0, "run_id": 1}
     assert api.search_index(spark, "word", str(tmp_path), str(tmp_path / "index")) == []
+
+
+def test_one_build_writes_at_a_time(spark, tmp_path):
+    store = lifecycle.Store(spark, str(tmp_path / "index"))
+    with store.lock():
+        with pytest.raises(TimeoutError):
+            with store.lock(wait=0.2):
+                pass
+    with store.lock(wait=0.2):
+        pass
+    store.ABANDONED = -1.0  # what a build left behind is taken over
+    with store.lock():
+        with store.lock(wait=0.2):
+            pass
+
+
+def test_vectors_are_compacted_and_meta_upserted(spark, tmp_path):
+    store = lifecycle.Store(spark, str(tmp_path / "index"))
+    keys = ["sha256", "embedding_model", "chunking_version"]
+    for k in range(4):
+        store.append("vectors", spark.createDataFrame([("a", "m", "c", [1.0]), (f"b{k}", "m", "c", [2.0])], api.VECTORS).coalesce(1))
+    store.compact("vectors", keys, files=100)
+    assert store.log("vectors", api.VECTORS).count() == 8
+    store.compact("vectors", keys, files=3)
+    assert sorted(r.sha256 for r in store.log("vectors", api.VECTORS).collect()) == ["a", "b0", "b1", "b2", "b3"]
+    (tmp_path / "index" / "vectors").rename(tmp_path / "index" / "vectors.old")  # broken off between the renames
+    store.compact("vectors", keys)
+    assert store.log("vectors", api.VECTORS).count() == 5
+    store.put({"a": "1", "b": "2"})
+    store.put({"b": "3"})
+    assert {r.key: r.value for r in store.meta().collect()} == {"a": "1", "b": "3"}
+
+
+def test_history(spark, tmp_path):
+    from tests.test_operators import LOG
+
+    (tmp_path / "log.txt").write_text(LOG)
+    index = str(tmp_path / "index")
+    assert api.index_history(spark, str(tmp_path / "log.txt"), index, embedder) == 1
+    assert api.index_history(spark, str(tmp_path / "log.txt"), index, embedder, authors=["Nobody"]) == 0
+    assert lifecycle.Store(spark, index).log("link_events", schemas.LINK_EVENTS).count() == 6  # two runs
+    hit = api.search_history(spark, "another deleted line that is long", embedder, index)[0]
+    assert hit["path"] == "n.md" and hit["sha"] == "c1" and hit["raw_sim"] > 0.5
+    assert api.search_history(spark, "deleted", embedder, index, since="2024-02-01") == []
+
+
+def _onnx(table) -> bytes:
+    """A model file whose output is the row of ``table`` for each token."""
+
+    def varint(x):
+        out = b""
+        while x > 127:
+            out, x = out + bytes([x & 127 | 128]), x >> 7
+        return out + bytes([x])
+
+    def number(field, x):
+        return varint(field << 3) + varint(x)
+
+    def part(field, *content):
+        b = b"".join(c.encode() if isinstance(c, str) else c for c in content)
+        return varint(field << 3 | 2) + varint(len(b)) + b
+
+    def value(name, kind, *dims):
+        shape = part(2, *(part(1, part(2, d)) if isinstance(d, str) else part(1, number(1, d)) for d in dims))
+        return part(1, name) + part(2, part(1, number(1, kind), shape))
+
+    weights = part(5, *(number(1, d) for d in table.shape), number(2, 1), part(8, "table"), part(9, table.tobytes()))
+    node = part(1, part(1, "table"), part(1, "input_ids"), part(2, "state"), part(4, "Gather"))
+    inputs = [part(11, value(n, 7, "b", "s")) for n in ("input_ids", "attention_mask")]
+    graph = part(7, node, part(2, "g"), weights, *inputs, part(12, value("state", 1, "b", "s", table.shape[1])))
+    return number(1, 8) + graph + part(8, number(2, 13))
+
+
+def test_onnx_embedder(spark, tmp_path, capsys):
+    np, tokenizers = pytest.importorskip("numpy"), pytest.importorskip("tokenizers")
+    pytest.importorskip("onnxruntime")
+    words = ["[UNK]", "linked", "planned", "word", "result"]
+    t = tokenizers.Tokenizer(tokenizers.models.WordLevel({w: i for i, w in enumerate(words)}, unk_token="[UNK]"))
+    t.normalizer, t.pre_tokenizer = tokenizers.normalizers.Lowercase(), tokenizers.pre_tokenizers.Whitespace()
+    (tmp_path / "model").mkdir()
+    t.save(str(tmp_path / "model" / "tokenizer.json"))
+    table = np.random.default_rng(1).normal(size=(len(words), schemas.DIMENSIONS)).astype(np.float32)
+    (tmp_path / "model" / "model.onnx").write_bytes(_onnx(table))
+    (tmp_path / "vault").mkdir()
+    model, root, index = api.OnnxEmbedder(str(tmp_path / "model")), _vault(tmp_path / "vault"), str(tmp_path / "index")
+    assert np.allclose(model(["linked word", "what"]), table[[1, 0]])
+    assert api.build_index(spark, root, index, embedder=model)["vectors"] == 9
+    assert api.semantic_search(spark, "result", model, index, 1)[0][:2] == (pytest.approx(1.0, abs=1e-5), "folder/beta.md")
+    assert api.main(["--vault", root, "--db", index, "--search", "result", "--model", str(tmp_path / "model")]) == 0
+    assert "vec 1" in capsys.readouterr().out

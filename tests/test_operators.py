@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomnote import schemas
 from loomnote.functions import parse
 from loomnote.functions import text as X
-from loomnote.operators import events, graph, lifecycle, notes, search
+from loomnote.operators import events, graph, lifecycle, notes, search, sessions
 from loomnote.sources import vault
 from loomnote.streaming import ingest
 
@@ -40,8 +40,10 @@ def test_bm25(spark, q):
     if not phrases:
         assert q == "!!"
         return
-    tokens = X.folded_tokens(F.col("t"))
-    got = search.bm25(search.postings(rows, "id", tokens), search.statistics(rows, tokens), phrases)
+    index = search.postings(rows, "id", F.col("t"))
+    got = search.bm25(index, search.statistics(rows, index), phrases)
+    if all(len(p) == 1 for p in phrases):
+        assert {r.id: r.score for r in search.scan_bm25(rows, "id", F.col("t"), [p[0] for p in phrases]).collect()} == pytest.approx(want)
     assert {r.id: r.score for r in got.collect()} == pytest.approx(want)
 
 
@@ -187,3 +189,51 @@ def test_latest_files_and_read_section(spark, tmp_path):
     assert [r.path[-7:] for r in vault.latest_files(spark, str(tmp_path), 2).collect()] == ["3.jsonl", "2.jsonl"]
     rows = spark.createDataFrame([("a.md", "H", 3, 1, "y"), ("a.md", "H", 3, 0, "x"), ("b.md", "H", 1, 0, "z")], "path string, heading string, start_line int, chunk_index int, text string")
     assert [r.text for r in notes.read_section(rows, "a.md", "H").collect()] == ["x", "y"]
+
+
+def test_products(spark):
+    rows = spark.createDataFrame([([1.0, 2.0],), ([3.0],), (None,), ([0.5, -0.5],), ([],)], "v array<float>")
+    got = rows.select(search.dot(F.col("v"), [2.0, 1.0]).alias("d"), search.norm("v").alias("n")).collect()
+    assert [r.d for r in got] == [4.0, None, None, 0.5, None]
+    assert [r.n for r in got] == pytest.approx([math.sqrt(5), 3.0, None, math.sqrt(0.5), 0.0])
+    assert rows.limit(0).select(search.dot(F.col("v"), [1.0])).count() == 0
+
+
+def test_folding():
+    assert X.fold_tokens("Café_ÉTÉ ﬁne x² Ǆ") == ["cafe", "ete", "fine", "x2", "dz"]
+
+
+def _longest(texts):
+    assert 0 < len(texts) <= 5
+    return max(texts, key=lambda t: (len(t), t))
+
+
+def test_rollup(spark):
+    """No call gets more than fan_in texts, hot keys and equal texts too; null texts count for nothing."""
+    rows = [("hot", "s")] * 300 + [("hot", f"t{i}") for i in range(200)] + [("one", "x"), ("none", None), (None, "y"), (None, "yy")]
+    got = sessions.rollup(spark.createDataFrame(rows, "key string, text string"), _longest, fan_in=5).collect()
+    assert {r.key: r.text for r in got} == {"hot": "t199", "one": "x", None: "yy"}
+
+
+def test_sessions(spark):
+    turns = spark.createDataFrame([(1, ["a/b.py", "c.py"], "ok"), (2, ["a/b.pyc"], "error"), (3, None, "error")], "turn int, files_touched array<string>, status string")
+    assert [r.turn for r in sessions.touching(turns, "%b.py%").collect()] == [1, 2]
+    assert [r.turn for r in sessions.provenance(turns, "a/b.py").collect()] == [1]
+    assert [r.turn for r in sessions.failed(turns).collect()] == [2, 3]
+    names = spark.createDataFrame([("r1", "process_payment"), ("r1", "Pay"), ("r2", "repay"), ("r3", "pay")], "repo string, symbol string")
+    assert [(r.repo, r.symbol) for r in sessions.symbols(names, ["r1", "r2"], "pay").collect()] == [("r1", "Pay"), ("r1", "process_payment"), ("r2", "repay")]
+
+
+def test_long_chain(spark):
+    e = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(24)], "src string, dst string")
+    assert graph.shortest_path(e, "n0", "n24") == [f"n{i}" for i in range(25)]
+
+
+def test_windowed_counts(spark, tmp_path):
+    from datetime import datetime
+
+    spark.createDataFrame([(datetime(2024, 1, 1, 0, m), k) for m, k in ((1, "a"), (2, "a"), (59, "b"))] + [(datetime(2024, 1, 1, 5), "c")], "at timestamp, kind string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("at timestamp, kind string").parquet(str(tmp_path / "in"))
+    q = ingest.windowed_counts(stream, "at", "kind").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted((r.start.hour, r.kind, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(0, "a", 2), (0, "b", 1)]  # the last hour isn't final

@@ -75,9 +75,6 @@ def test_columns(spark):
     assert [r.s for r in got] == ["day 1", "review x", "x", "x", "x.y", ".z"]
     text = spark.createDataFrame([("foo_bar ab abcde !",), ("",), (None,), ("é wörter",)], "t string")
     assert [r.e for r in text.select(X.token_estimate(text.t).alias("e")).collect()] == [5, 0, 0, parse.estimate("é wörter")]
-    assert [r.w for r in text.select(X.word_count(text.t).alias("w")).collect()] == [4, 0, 0, 2]
-    k = spark.createDataFrame([("# a\n x\n- [ ] t\n- " + "y" * 300,)], "t string")
-    assert k.select(X.key_lines(k.t).alias("k")).first().k == parse.key_lines("# a\n x\n- [ ] t\n- " + "y" * 300)
 
 
 def test_resolution(spark):
