@@ -8,8 +8,9 @@ A blob: magic ``DAC1``, number of levels (u8), 3 bytes of zero, then for each le
 one after another for each level, chunks (u8 each), bitmap (bytes) and directory (u32 each). The last level of a
 blob has neither bitmap nor directory.
 
-Rows: a null text (or null list) has a null blob, an empty one a blob of no levels. Ids may be null and may repeat.
-Only the id and the text (or list) column are read.
+Rows: a null text (or null list) has a null blob, an empty one a blob of no levels. A very long text is one blob, of up to
+2**32 tokens. Ids may be null, and rows may repeat. An empty table gives no rows. Only the id and the text (or list)
+column are read, so columns with the names of results are safe.
 """
 
 from __future__ import annotations

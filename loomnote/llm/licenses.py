@@ -245,10 +245,21 @@ def best(found: set[tuple[str, int, int, int, int]]) -> list[tuple[str, int, int
     return kept
 
 
+def _any_of(words: set[str]) -> str:
+    """A pattern of the words, common beginnings first, so that few branches are tried at a place."""
+    tails: dict[str, set[str]] = {}
+    for w in words:
+        tails.setdefault(w[0], set()).add(w[1:])
+    parts = []
+    for c, rest in sorted(tails.items()):
+        more = rest - {""}
+        parts.append(re.escape(c) + (f"(?:{_any_of(more)})" + ("?" if "" in rest else "") if more else ""))
+    return "|".join(parts)
+
+
 def trigger_pattern(templates: list[Template]) -> str:
     """A pattern that every text with a hit matches: a trigger word of any template, as a word."""
-    every = sorted(set().union(*(t.triggers for t in templates)))
-    return r"(?<![\p{L}\p{N}])(?:" + "|".join(map(re.escape, every)) + r")(?![\p{L}\p{N}])"
+    return r"(?<![\p{L}\p{N}])(?:" + _any_of(set().union(*(t.triggers for t in templates))) + r")(?![\p{L}\p{N}])"
 
 
 def find_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

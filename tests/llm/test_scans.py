@@ -41,6 +41,20 @@ def test_triggers_can_not_be_missed():
         assert sum(w in t.triggers for w in t.words) > len(t.words) * (1 - licenses.COVERAGE) - 1e-9
 
 
+def test_the_trigger_pattern_is_that_of_the_words():
+    regex = pytest.importorskip("regex")
+    rng = random.Random(3)
+    library = licenses.Library(licenses.TEMPLATES)
+    triggers = sorted(set().union(*(t.triggers for t in library.templates)))
+    pattern = regex.compile(licenses.trigger_pattern(library.templates))
+    assert all(pattern.search(f"x {w} y") and pattern.search(w) for w in triggers)
+    for _ in range(3000):
+        w = rng.choice(triggers)
+        k = rng.randrange(len(w) + 1)
+        w = rng.choice((w[:k], w + rng.choice("aes2"), w[k:], w[:k] + rng.choice("xy") + w[k:], w + "-" + w))
+        assert bool(pattern.search(w)) == any(p in triggers for p in regex.findall(r"[\p{L}\p{N}.]+", w)) or "." in w
+
+
 def test_licenses(spark):
     rng = random.Random(2)
     mit = licenses._MIT.split()
