@@ -55,9 +55,18 @@ def statistics(docs: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def _phrase_hits(found: DataFrame, phrases: list[list[str]]) -> DataFrame:
-    """(phrase, id, len, f): how often each phrase occurs. A phrase of one token is its posting."""
+    """(phrase, id, len, f): how often each phrase occurs. All phrases of one token come from one scan of the postings."""
+    single: dict[str, list[int]] = defaultdict(list)
+    for k, p in enumerate(phrases):
+        if len(p) == 1:
+            single[p[0]].append(k)
     out = None
+    if single:
+        which = F.create_map(*(x for t, ks in single.items() for x in (F.lit(t), F.array(*map(F.lit, ks)))))
+        out = found.where(F.col("term").isin(list(single))).select(F.explode(F.element_at(which, F.col("term"))).alias("phrase"), "id", "len", F.size("positions").alias("f"))
     for k, p in enumerate(phrases):
+        if len(p) == 1:
+            continue
         hits = None
         for j, term in enumerate(p):
             at = found.where(F.col("term") == term).select("id", "len", F.transform("positions", lambda x: x - j).alias("starts"))
@@ -70,21 +79,24 @@ def _phrase_hits(found: DataFrame, phrases: list[list[str]]) -> DataFrame:
 def bm25(index: DataFrame, stats: DataFrame, phrases: list[list[str]]) -> DataFrame:
     """(id, score) of the documents that have any phrase; lower is better. A phrase given twice counts twice.
 
-    The terms are pushed down to the postings' scan; everything after works on their few postings.
+    The terms are pushed down to the postings' scan; everything after works on their few postings, which are written
+    once: how many documents a phrase has (a row for each phrase) and the scores come from that.
     """
-    terms = sorted({t for p in phrases for t in p})
-    found = index.where(F.col("term").isin(terms))
-    hits = _phrase_hits(found, phrases)
-    n = hits.groupBy("phrase").agg(F.count("*").alias("n"))
-    total = F.broadcast(stats.select("docs", F.try_divide("tokens", "docs").alias("mean")))  # one row
-    return weigh(hits.join(F.broadcast(n), "phrase").crossJoin(total))  # n: a row for each phrase
+    hits = session.cut(_phrase_hits(index.where(F.col("term").isin(sorted({t for p in phrases for t in p}))), phrases))
+    total = stats.first()
+    weights = [F.lit(x) for r in hits.groupBy("phrase").agg(F.count("*").alias("n")).collect() for x in (r.phrase, _idf(total.docs, r.n))]
+    idf = F.element_at(F.create_map(*weights), F.col("phrase")) if weights else F.lit(0.0)
+    return hits.groupBy("id").agg((-F.sum(_gain(idf, F.col("f"), total.tokens / max(1, total.docs)))).alias("score"))
+
+
+def _idf(docs: int, n: int) -> float:
+    idf = math.log((docs - n + 0.5) / (n + 0.5))
+    return idf if idf > 0 else 1e-6
 
 
-def weigh(hits: DataFrame) -> DataFrame:
-    idf = F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    idf = F.when(idf > 0, idf).otherwise(F.lit(1e-6))
-    gain = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    return hits.groupBy("id").agg((-F.sum(gain)).alias("score"))
+def _gain(idf: Column | float, f: Column, mean: float) -> Column:
+    """What a document of ``len`` tokens gets for f occurrences."""
+    return idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / (mean or 1.0)))
 
 
 def term_counts(docs: DataFrame, id_col: str, text: Column, terms: list[str]) -> DataFrame:
@@ -114,8 +126,7 @@ def scan_bm25(docs: DataFrame, id_col: str, text: Column, terms: list[str]) -> D
     total = counted.agg(F.count("*").alias("docs"), F.avg("len").alias("mean"), *(F.count_if(x > 0).alias(f"n{k}") for k, x in enumerate(f))).first()
     score = F.lit(0.0)
     for k, x in enumerate(f):
-        idf = math.log((total.docs - total[f"n{k}"] + 0.5) / (total[f"n{k}"] + 0.5))
-        score = score - (idf if idf > 0 else 1e-6) * x * (K1 + 1) / (x + K1 * (1 - B + B * F.col("len") / (total.mean or 1.0)))
+        score = score - _gain(F.lit(_idf(total.docs, total[f"n{k}"])), x, total.mean)
     return counted.where(F.exists("f", lambda n: n > 0)).select("id", score.alias("score"))
 
 

@@ -8,8 +8,10 @@ application and folder of tables, from files in the shared folder, and kept ther
 from __future__ import annotations
 
 import io
+import re
 from collections.abc import Iterator
 from contextlib import redirect_stdout
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -20,13 +22,14 @@ from loomnote.functions import text as X
 from loomnote.operators import events, graph, lifecycle, notes, search, sessions
 from loomnote.plans.queries import page_graph, page_links, query, table, texts
 from loomnote.sources import vault
+from loomnote.streaming import ingest
 
 _NL = "chr(10)"
 PATH = """case doc_id % 5 when 0 then concat('day ', doc_id, '.md') when 1 then concat('work/p', doc_id % 3, '/', doc_id, '.md') when 2 then concat('work/', doc_id, '.md')
 when 3 then concat('f', doc_id % 7, '/', doc_id, '.md') else concat('f', doc_id % 7, '/deep/review ', doc_id, '.md') end"""
 _FRONT = f"""concat('---', {_NL}, 'energy: ', doc_id % 11, {_NL}, 'sentiment:', {_NL}, '  - ', doc_id % 5, {_NL}, '  - ', n_chars % 7, {_NL}, 'sentiment-label:', {_NL}, '  - l', doc_id % 3, {_NL}, '  - ', lang, {_NL}, 'tags:', {_NL}, '  - ', source, {_NL}, '---', {_NL})"""
 _LINKS = f"""concat('## Links', {_NL}, 'See [[', case doc_id % 5 when 1 then concat('work/p', (doc_id + 5) % 3, '/', doc_id + 5) when 2 then concat('WORK/', doc_id + 5, '.md') when 3 then concat('./deep/review ', doc_id + 21) else concat('Day ', doc_id + 1) end,
-']], [[', doc_id + 2, '|next]] and [[#top]].', {_NL}, '[[', doc_id + 3, '#part]] [[nowhere/', doc_id % 4, ']] [[nowhere]] [[nowhere]] [[', doc_id + 4, '.md]]', {_NL})"""
+']], [[', doc_id + 2, '|next]] and [[#top]].', {_NL}, '[[', doc_id + 3, '#part]] [[nowhere/', doc_id % 4, ']] [[nowhere]] [[nowhere]] [[', doc_id + 4, '.md]] [[day 0]]', {_NL})"""
 CONTENT = f"""concat(case when doc_id % 9 = 0 then '' else {_FRONT} end, '# Note ', doc_id, {_NL}, '- from ', source, {_NL}, {_NL}, '## Text', {_NL}, text, {_NL}, {_NL}, {_LINKS})"""
 
 
@@ -165,11 +168,19 @@ def hybrid_search(spark, d):
     return found.select("id", "path", "heading", "start_line", F.round("score", 9).alias("score"), "lex_rank", "vec_rank", F.round("raw_sim", 6).alias("raw_sim"), marked.alias("marked"))
 
 
+def letters(texts: list[str]) -> list[list[float]]:
+    """An embedder that needs no model: how often each of 26 letters is in a text."""
+    return [[float(t.lower().count(chr(97 + k))) for k in range(26)] + [0.0] * (schemas.DIMENSIONS - 26) for t in texts]
+
+
 _built: dict[tuple[str, str], tuple[str, str]] = {}
 
 
 def built(spark: SparkSession, d: str) -> tuple[str, str]:
-    """(root, index) of the notes written as files, with files that don't belong, and indexed; once for each application."""
+    """(root, index) of the notes written as files, with files that don't belong, and indexed; once for each application.
+
+    A first build has no embedder; for the second, which embeds, two notes more are there, one of which can't be parsed.
+    """
     key = spark.sparkContext.applicationId, d
     if key not in _built:
         root = session.scratch(spark, "notes")
@@ -183,10 +194,13 @@ def built(spark: SparkSession, d: str) -> tuple[str, str]:
         files(spark, d).mapInPandas(write, "n long").agg(F.sum("n")).collect()
         for other in (".obsidian/no.md", "node_modules/no.md", ".trash/x/no.md", "f1/plain.txt", "f1/UPPER.MD"):
             vault.write_file(f"{root}/{other}", b"## Not a note")
-        vault.write_file(f"{root}/f1/bad.md", "## Bytes\n".encode() + b"a\xff\xfeb [[nowhere]]\r\nnext")
+        index = f"{root}/.obsidian/index"
         with redirect_stdout(io.StringIO()):
-            api.build_index(spark, root, f"{root}/.obsidian/index", skip_embeddings=True)
-        _built[key] = root, f"{root}/.obsidian/index"
+            api.build_index(spark, root, index, skip_embeddings=True)
+            vault.write_file(f"{root}/f1/bad.md", "## Bytes\n".encode() + b"a\xff\xfeb [[nowhere]]\r\nnext")
+            vault.write_file(f"{root}/f1/broken.md", b"---\nenergy: " + b"9" * 5000 + b"\n---\ntext")
+            api.build_index(spark, root, index, embedder=letters, embed_round=1000)
+        _built[key] = root, index
     return _built[key]
 
 
@@ -214,14 +228,15 @@ def built_edges(spark, d):
     return _store(spark, d).table("edges", schemas.EDGES).select("source_path", "raw_target", "resolved_target_path", "start_line")
 
 
-@query(f"""with recursive {_NOTE}, {_chunk_sql('body')} select 'metadata-only' as status, (select count(*) + 1 from documents) as note_count, (select count(*) + 1 from chunk) as section_count, 0::bigint as embedding_count, 0::bigint as error_count, 1::bigint as id""")
+@query(f"""with recursive {_NOTE}, {_chunk_sql('body')}, s as (select (select count(*) from documents) as n, (select count(*) from chunk) as c)
+select unnest(['metadata-only', 'complete']) as status, unnest([n, n + 1]) as note_count, unnest([c, c + 1]) as section_count, unnest([0, c + 1]) as embedding_count, unnest([0::bigint, 1]) as error_count, unnest([1::bigint, 2]) as id from s""")
 def built_runs(spark, d):
-    """The log of the one run."""
+    """The log of both runs."""
     return _store(spark, d).log("index_runs", schemas.RUNS).select("status", "note_count", "section_count", "embedding_count", "error_count", "id")
 
 
 @query(f"""with recursive {_NOTE}, {_RAW_LINKS}, {_EDGES}, {_chunk_sql('body')}, s as (select (select count(*) from documents) as n, (select count(*) from chunk) as c, (select count(*) from edge) as e)
-select unnest(['notes', 'sections', 'vectors', 'edges', 'text_rows', 'title_rows']) as name, unnest([n + 1, c + 1, 0, e + 1, c + 1, n + 1]) as value from s""")
+select unnest(['notes', 'sections', 'vectors', 'edges', 'text_rows', 'title_rows']) as name, unnest([n + 1, c + 1, c + 1, e + 1, c + 1, n + 1]) as value from s""")
 def built_stats(spark, d):
     """The statistics that the command line prints."""
     root, index = built(spark, d)
@@ -243,6 +258,57 @@ def built_links(spark, d):
     return spark.createDataFrame(rows, "way string, raw_target string, path string, start_line int")
 
 
+@query("select 'f1/broken.md' as path, 'parse' as stage, true as told, 2::bigint as run_id")
+def built_errors(spark, d):
+    """Notes that couldn't be parsed, and that the reason is kept."""
+    return _store(spark, d).log("index_errors", schemas.ERRORS).select("path", "stage", (F.length("message") > 0).alias("told"), "run_id")
+
+
+@query("select unnest(['schema_version', 'embedding_model', 'chunking_version']) as key, unnest(['2', 'BAAI/bge-small-en-v1.5', 'heading-estimate-v1']) as value")
+def built_meta(spark, d):
+    return _store(spark, d).meta().where("key != 'run'")
+
+
+_LETTERS = "list_transform(range(26), lambda k: (length(lower({0})) - length(replace(lower({0}), chr(97 + k::int), '')))::double)"
+_NEAR = f"""with recursive {_NOTE}, {_chunk_sql('body')}, every as (select id, path, heading, start_line, text from chunk union all select 'f1/bad.md::0:0', 'f1/bad.md', 'Bytes', 1, 'Bytes' || {_NL} || 'ab [[nowhere]] next'),
+near as (select id, path, heading, start_line, list_cosine_similarity({_LETTERS.format('text')}, {_LETTERS.format("'thunderstorm and idiot'")}) as sim from every)"""
+
+
+@query(f"{_NEAR} select path, heading, start_line, round(sim, 5) as raw_sim from near order by sim desc, id limit 10")
+def built_nearest(spark, d):
+    """Search by vectors alone, over what the build embedded."""
+    found = api.semantic_search(spark, "thunderstorm and idiot", letters, built(spark, d)[1], 10)
+    return spark.createDataFrame([(p, h, n, s) for s, p, h, n in found], "path string, heading string, start_line int, raw_sim double").withColumn("raw_sim", F.round("raw_sim", 5))
+
+
+@query(f"""{_GRAPH}, built as (select * from edge union all select 'f1/bad.md', 'nowhere', null, 2),
+o as (select *, row_number() over (order by start_line, raw_target) as k from built where source_path = 'day 0.md'), i as (select *, row_number() over (order by source_path, start_line, raw_target) as k from built where resolved_target_path = 'day 0.md')
+select 'outbound (' || count(*) || ')' as line from o union all select '  -> ' || coalesce(resolved_target_path, raw_target) || ' (line ' || start_line || ')' from o where k <= 20
+union all select 'inbound (' || count(*) || ')' from i union all select '  <- ' || source_path || ':' || start_line || ' as [[' || raw_target || ']]' from i where k <= 20 union all select '  and ' || count(*) - 20 || ' more' from i""")
+def printed_links(spark, d):
+    """What the command line prints of a note's links: twenty each way and how many more."""
+    root, index = built(spark, d)
+    with redirect_stdout(io.StringIO()) as out:
+        api.query_links(spark, "Day 0", root, index)
+    return spark.createDataFrame([(x,) for x in out.getvalue().splitlines()], "line string")
+
+
+@query("select '.obsidian' as mark, 4::bigint as starts")
+def found_root(spark, d):
+    """The folder of the notes is found from any place inside it."""
+    root = Path(re.sub("^file:(//)?", "", built(spark, d)[0]))
+    found = [vault.find_root(root / p) == root.resolve() for p in (".", "f1", "f1/deep", ".obsidian/index")]
+    return spark.createDataFrame([(".obsidian", sum(found))], "mark string, starts long")
+
+
+@query("select doc_id, quality, null::varchar as reviewer, true as usable from labels")
+def evolved_labels(spark, d):
+    """A table of an older schema read in a newer one; without a required column it would have to be made anew."""
+    old = table(spark, d, "labels")
+    new = schemas.evolve(old, "doc_id long, quality int, reviewer string", {"doc_id"})
+    return new.withColumn("usable", F.lit(schemas.evolve(old, "doc_id long", {"reviewer"}) is None))
+
+
 _TITLES = f"""with {_NOTE}, title as (select path, stem from body union all select 'f1/bad.md', 'bad'),
 tok as (select path as id, regexp_extract_all(lower(strip_accents(stem)), '[\\p{{L}}\\p{{N}}]+') as tok from title), stat as (select count(*) as docs, avg(len(tok)) as mean from tok),
 hit as (select id, len(tok) as len, term, len(list_filter(tok, lambda t: t = term)) as f from tok, (values ('review'), ('19')) v(term) where list_contains(tok, term)),
@@ -316,6 +382,35 @@ def call_responses(spark, d):
     return events.responses(events.calls(e.select("event_id", vault.call_events(body).alias("call")))).select("event_id", "response")
 
 
+@query("select event_id, case when event_type = 'error' then null else 'WhatsApp call: ' || event_type end as title, event_type <> 'error' as ok from events")
+def streamed_calls(spark, d):
+    """The same calls as files of JSON lines that arrive, answered by a stream into a table."""
+    folder = session.scratch(spark, "calls")
+    e = table(spark, d, "events")
+    start = F.when(F.col("event_type") != "error", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    e.select(F.to_json(F.struct(F.col("event_type").alias("contact"), start.alias("start"), F.lit(60).alias("durationSeconds"), F.col("event_id").cast("string").alias("source"))).alias("value")).write.text(f"{folder}/in")
+    ingest.call_stream(spark, f"{folder}/in", f"{folder}/state", f"{folder}/out").awaitTermination()
+    out = spark.read.parquet(f"{folder}/out")
+    return out.select(F.regexp_extract("description", r"source: (\d+)$", 1).cast("long").alias("event_id"), F.when(F.col("ok"), F.col("title")).alias("title"), "ok")
+
+
+@query(f"select * exclude (path, category) from ({_NOTES_SQL})")
+def streamed_notes(spark, d):
+    """Notes as files that arrive, parsed by a stream; each note's last row."""
+    folder = session.scratch(spark, "stream")
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for p, c in zip(b.path, b.content):
+                vault.write_file(f"{folder}/in/{p}", bytes(c))
+            yield pd.DataFrame({"n": [len(b)]})
+
+    files(spark, d).mapInPandas(write, "n long").agg(F.sum("n")).collect()
+    store = lifecycle.Store(spark, f"{folder}/store")
+    ingest.ingest(ingest.note_stream(spark, f"{folder}/in", 100_000), store, f"{folder}/state").awaitTermination()
+    return _flat(ingest.latest_notes(spark, store)).drop("path", "category")  # a stream has whole URIs
+
+
 @query("select distinct 'm' || conv_id as id, text from conversations where role = 'assistant'")
 def transcript_messages(spark, d):
     """Transcripts written as lines of JSON, with thoughts and repeats, and read back."""
