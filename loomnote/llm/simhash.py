@@ -74,12 +74,21 @@ def fingerprints(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
         words = np.diff(np.append(first, len(row)))
         bits = np.unpackbits(np.stack([spans.mix(h + s) for s in _SALTS], axis=1).view(np.uint8), axis=1)
-        votes = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+        votes = _votes(bits, first, words)
         out[i + row[first]] = np.packbits(2 * votes > words[:, None], axis=1)
         some[i + row[first]] = True
     return out, some
 
 
+def _votes(bits: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Sums of the rows of ``bits`` (0 or 1) from each ``first`` on: eight columns at a time as the bytes of one number, 255 rows at most."""
+    lots = -(-count // 255)
+    at = np.concatenate([[0], np.cumsum(lots)[:-1]])
+    begin = np.repeat(first, lots) + 255 * (np.arange(int(lots.sum())) - np.repeat(at, lots))
+    sums = np.add.reduceat(bits.view(np.uint64), begin, axis=0).view(np.uint8)
+    return np.add.reduceat(sums, at, axis=0, dtype=np.int32)
+
+
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, th, fp) of each row: th a hash of its text, fp null where there is no word."""
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))

@@ -83,6 +83,15 @@ def test_isolated_pairs_by_distance(spark):
         assert band.sum() >= 40 and met[band].mean() >= least, (low, high, band.sum(), met[band].mean())
 
 
+def test_votes():
+    rng = np.random.default_rng(2)
+    count = np.array([1, 254, 255, 256, 1, 2000, 510])
+    bits = rng.integers(0, 2, (count.sum(), 256), dtype=np.uint8)
+    bits[1:600] = 1
+    first = np.concatenate([[0], np.cumsum(count)[:-1]])
+    assert np.array_equal(simhash._votes(bits, first, count), np.stack([bits[a : a + n].sum(axis=0, dtype=np.int32) for a, n in zip(first, count)]))
+
+
 @pytest.mark.parametrize("distance, shared", [(28, 4), (29, 3), (20, 12)])
 def test_a_guaranteed_minimum_is_found(spark, distance, shared):
     """Lone pairs at the distance that share just the bytes that any pair within it must share: all are found."""
