@@ -65,8 +65,16 @@ def casefold(value: pd.Series) -> pd.Series:
 
 
 @functools.cache
-def _combining() -> re.Pattern:
-    return re.compile("[" + "".join(re.escape(chr(c)) for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c))) + "]+")
+def _combining() -> tuple[re.Pattern, re.Pattern]:
+    """Runs of combining characters: of the first plane, which is a bitmap to the pattern, and of all."""
+    found = [re.escape(chr(c)) for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c))]
+    return tuple(re.compile("[" + "".join(x for x in found if x <= top) + "]+") for top in ("\uffff", chr(sys.maxunicode)))
+
+
+def _unaccented(text: str) -> str:
+    first, every = _combining()
+    plain = unicodedata.normalize("NFKD", text)
+    return (every if max(plain) > "\uffff" else first).sub("", plain)
 
 
 _RUN = re.compile(r"[^\W_]+")
@@ -74,8 +82,7 @@ _RUN = re.compile(r"[^\W_]+")
 
 def fold_tokens(text: str) -> list[str]:
     """Case and accents folded; runs of letters and digits (an underscore parts them)."""
-    plain = text if text.isascii() else _combining().sub("", unicodedata.normalize("NFKD", text))
-    return _RUN.findall(plain.lower())
+    return _RUN.findall((text if text.isascii() else _unaccented(text)).lower())
 
 
 def query_phrases(query: str) -> list[list[str]]:
