@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import threading
 import time
 import uuid
 from collections.abc import Iterator
@@ -61,10 +62,11 @@ class Store:
     A build writes its tables to ``runs/<name>`` and then flips ``CURRENT``, a small file that names the snapshot, by
     one rename: readers see the old tables or the new ones. Vectors are appended to ``vectors`` as they are made, so a
     build that breaks off has lost none. The run log and the errors are appended to. One build writes at a time: it holds
-    ``LOCK``, a file that only one can create; others wait, and take over what was left behind ``ABANDONED`` seconds ago.
+    ``LOCK``, a file that only one can create, and renews it every ``BEAT`` seconds; others wait for ``BUSY`` seconds, and take
+    over what nobody has renewed for ``ABANDONED`` seconds.
     """
 
-    BUSY, ABANDONED = 60.0, 12 * 3600.0
+    BUSY, BEAT, ABANDONED = 60.0, 30.0, 600.0
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -106,12 +108,22 @@ class Store:
             if self._fs.exists(path) and time.time() - self._fs.getFileStatus(path).getModificationTime() / 1000 > self.ABANDONED:
                 self._fs.delete(path, False)
             elif time.monotonic() > until:
-                raise TimeoutError(f"another build writes to {self.folder}")
+                raise TimeoutError(f"another build writes to {self.folder}, or one broke off less than {self.ABANDONED:.0f} seconds ago")
             else:
                 time.sleep(min(1.0, max(0.0, until - time.monotonic()) + 0.01))
+        done = threading.Event()
+
+        def renew() -> None:
+            while not done.wait(self.BEAT):
+                self._fs.create(path, True).close()
+
+        beat = threading.Thread(target=renew, daemon=True)
+        beat.start()
         try:
             yield
         finally:
+            done.set()
+            beat.join()
             self._fs.delete(path, False)
 
     def _created(self, path) -> bool:

@@ -89,10 +89,17 @@ def test_one_build_writes_at_a_time(spark, tmp_path):
                 pass
     with store.lock(wait=0.2):
         pass
-    store.ABANDONED = -1.0  # what a build left behind is taken over
+    lock = tmp_path / "index" / "LOCK"
+    lock.write_text("")
+    store.ABANDONED = 0.5  # what a build left behind is taken over
+    with store.lock(wait=5):
+        assert lock.exists()
+    store.BEAT, store.ABANDONED = 0.1, 1.0  # but not what is renewed
     with store.lock():
-        with store.lock(wait=0.2):
-            pass
+        with pytest.raises(TimeoutError):
+            with store.lock(wait=2.5):
+                pass
+    assert not lock.exists()
 
 
 def test_vectors_are_compacted_and_meta_upserted(spark, tmp_path):
