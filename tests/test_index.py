@@ -68,6 +68,28 @@ def test_vectors_are_reused(spark, tmp_path):
     assert api.semantic_search(spark, "another text", embedder, index, 1)[0][1] == "folder/beta.md"
 
 
+def test_rounds_are_no_passes(spark, tmp_path):
+    """Rounds were a scan of all sections each; now a build's jobs don't grow with their number, and rounds are still kept."""
+    root, jobs = _vault(tmp_path), []
+    for size in (1000, 1):
+        spark.sparkContext.setJobGroup(f"round {size}", "")
+        assert api.build_index(spark, root, str(tmp_path / f"index {size}"), embedder=embedder, embed_round=size)["vectors"] == 9
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"round {size}")))
+    assert jobs[1] <= jobs[0] + 2
+    assert lifecycle.Store(spark, str(tmp_path / "index 1")).log("vectors", api.VECTORS).count() == 9
+
+    def broken(texts):
+        if any("linked" in t for t in texts):
+            raise ValueError("broken off")
+        return embedder(texts)
+
+    (tmp_path / "alpha.md").write_text("\n".join(["word"] * 90_000))  # some batches come before the one that fails
+    with pytest.raises(Exception, match="broken off"):
+        api.build_index(spark, root, str(tmp_path / "index 0"), embedder=broken, embed_round=100)
+    store = lifecycle.Store(spark, str(tmp_path / "index 0"))
+    assert store.current() is None and store.log("vectors", api.VECTORS).count() >= 128
+
+
 def test_no_index(spark, tmp_path):
     assert api.search_index(spark, "x", str(tmp_path), str(tmp_path / "none")) == []
     assert api.check_duplicate(spark, "x", str(tmp_path), str(tmp_path / "none")) == []
