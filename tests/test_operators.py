@@ -291,3 +291,15 @@ def test_only_the_parts_asked_for(spark):
         for r in notes.parse_files(files, [part]).collect():
             assert (r[part], r.error) == (every[r.path][part], every[r.path].error)
             assert all(not r[p] for p in notes.PARTS if p != part)
+
+
+def test_small_files_are_few_tasks(spark, tmp_path):
+    """A batch of many notes is listed and read by few tasks, and the caller's session keeps its settings."""
+    (tmp_path / "in").mkdir()
+    for k in range(100):
+        (tmp_path / "in" / f"{k}.md").write_text(f"## H{k}\ntext")
+    stream, sizes = ingest.note_stream(spark, str(tmp_path / "in")), []
+    assert all(spark.conf.get(k) != v for k, v in ingest.SMALL_FILES.items())
+    query = stream.writeStream.foreachBatch(lambda rows, n: sizes.append((rows.count(), rows.rdd.getNumPartitions()))).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [n for n, _ in sizes] == [100] and sizes[0][1] <= 4
