@@ -2,8 +2,10 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from loomnote import api, schemas
-from loomnote.operators import lifecycle
+from loomnote.operators import lifecycle, search
 
 
 def _vault(folder):
@@ -90,6 +92,30 @@ def test_rounds_are_no_passes(spark, tmp_path):
     assert store.current() is None and store.log("vectors", api.VECTORS).count() >= 128
 
 
+def test_index_is_written_without_shuffles(spark, tmp_path):
+    """All postings were shuffled and sorted by their terms, and all sections by their paths; a build took its time for it."""
+    for k in range(300):
+        (tmp_path / f"n{k % 7} {k}.md").write_text(f"## Part\n{'word ' * (k % 5)}Ünlike {k} 漢字 a_b [[n1 1]]\n## Other\nx{k}\n")
+    store = lifecycle.Store(spark, str(tmp_path / "index"))
+    assert api.build_index(spark, str(tmp_path), store.folder, embedder=embedder)["sections"] == 600
+    found = [f.relative_to(tmp_path / "index").as_posix().split("/")[2] for f in (tmp_path / "index" / "runs").rglob("*.parquet")]
+    assert "joined" not in found and found.count("sections_postings") == found.count("sections") > 2
+    sections, kept, n = store.table("sections"), store.table("sections_postings"), 0
+    assert sections.where("vector is null").count() == 0
+    for part in sorted((tmp_path / "index" / "runs").rglob("sections/part*")):  # paths of one range each, in order
+        paths = [r.path for r in spark.read.parquet(str(part)).collect()]
+        assert paths == sorted(paths)
+        n += len(paths)
+    assert n == 600
+    want = search.postings(sections, "id", F.col("text"))
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, want.collect()))
+    stats = search.statistics(sections, want).first()
+    assert store.table("sections_stats").first() == stats and stats.docs == 600
+    part = next((tmp_path / "index" / "runs").rglob("sections_postings/part*"))
+    terms = [r.term for r in spark.read.parquet(str(part)).collect()]
+    assert terms == sorted(terms)  # few notes: one group a file
+
+
 def test_no_index(spark, tmp_path):
     assert api.search_index(spark, "x", str(tmp_path), str(tmp_path / "none")) == []
     assert api.check_duplicate(spark, "x", str(tmp_path), str(tmp_path / "none")) == []
