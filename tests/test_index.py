@@ -1,11 +1,13 @@
 """The index over a small folder of notes: build, search, links, duplicates, reuse of vectors."""
 
+import os
+
 import pytest
 
 from pyspark.sql import functions as F
 
 from loomnote import api, schemas
-from loomnote.operators import lifecycle, search
+from loomnote.operators import build, lifecycle, search
 
 
 def _vault(folder):
@@ -224,3 +226,55 @@ def test_onnx_embedder(spark, tmp_path, capsys):
     assert api.semantic_search(spark, "result", model, index, 1)[0][:2] == (pytest.approx(1.0, abs=1e-5), "folder/beta.md")
     assert api.main(["--vault", root, "--db", index, "--search", "result", "--model", str(tmp_path / "model")]) == 0
     assert "vec 1" in capsys.readouterr().out
+
+
+def test_ranges_that_did_not_change_are_taken_over(spark, tmp_path, capsys):
+    """Each build parsed and tokenized every note again; now it reads and hashes all, and works on the ranges that changed."""
+    root = tmp_path / "notes"
+    root.mkdir()
+    for k in range(400):
+        (root / f"n{k:03}.md").write_text(f"## Part\nword Ünlike {k} [[n001]]\n## Other\nx{k}\n")
+    (root / "n010.md").write_bytes(b"---\nenergy: " + b"9" * 5000 + b"\n---\ntext")
+    store = lifecycle.Store(spark, str(tmp_path / "index"))
+
+    def carried(**how) -> int:
+        capsys.readouterr()
+        api.build_index(spark, str(root), store.folder, **how)
+        return int(capsys.readouterr().out.split(" ranges of notes")[0].rsplit(" ", 1)[1])
+
+    def like_new(**how) -> None:
+        new = lifecycle.Store(spark, str(tmp_path / f"new {len(list(tmp_path.iterdir()))}"))
+        api.build_index(spark, str(root), new.folder, **how)
+        for name in ("sections", "sections_postings", "sections_stats", "titles_postings", "notes", "edges", "parsed"):
+            assert sorted(map(repr, store.table(name).collect())) == sorted(map(repr, new.table(name).collect())), name
+        runs = [s.log("index_runs", schemas.RUNS).orderBy(F.col("id").desc()).drop("id", "started_at", "completed_at").first() for s in (store, new)]
+        assert runs[0] == runs[1] and runs[0].error_count == 1
+
+    assert carried() == 0 and carried(skip_embeddings=True) == 4
+    like_new()
+    times = (root / "n399.md").stat()
+    (root / "n399.md").write_text("## Part\nword Ünlike 398 [[n001]]\n## Other\nx398\n")  # as long and as old as before
+    os.utime(root / "n399.md", ns=(times.st_atime_ns, times.st_mtime_ns))
+    (root / "n000.md").unlink()
+    (root / "n150a.md").write_text("## New\nnote [[n399]]")
+    assert carried() == 1
+    like_new()
+    assert carried(embedder=embedder) == 4
+    like_new(embedder=embedder)
+    assert store.table("sections").where("vector is null").count() == 0
+    assert carried(embedder=embedder) == 0  # vectors are matched by id and hash
+    like_new(embedder=embedder)
+
+
+def test_names_are_dealt_in_ranges_that_stay():
+    names = [f"{k:05}" for k in range(10_000)]
+    first = build.deal(names, 2)
+    assert [x for part, _ in first for x in part] == names and len(first) == 5
+    starts = [part[0] for part, _ in first]
+    more = sorted([*names, "-", "04000a", "~"])
+    again = build.deal(more, 2, starts)
+    assert [x for part, _ in again for x in part] == more and [k for _, k in again] == [0, 1, 2, 3, 4] and again[1][0] == first[1][0]
+    grown = build.deal(sorted([*names, *(f"00001{k:05}" for k in range(5000))]), 2, starts)
+    assert max(len(part) for part, _ in grown) <= 4000 and [k for _, k in grown][-4:] == [1, 2, 3, 4]
+    assert [k for _, k in build.deal(names[4000:], 2, starts)] == [2, 3, 4]  # ranges without notes go
+    assert {k for _, k in build.deal(names, 40, starts)} == {None} and build.deal([], 2, starts) == build.deal([], 2) == []
