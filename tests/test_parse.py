@@ -1,5 +1,8 @@
 """The rules for a note's text."""
 
+import re
+import unicodedata
+
 import pytest
 
 from loomnote.functions import parse
@@ -86,3 +89,15 @@ def test_resolution(spark):
     links = spark.createDataFrame([(s, t, i) for i, (s, t) in enumerate(cases)], "source_path string, raw_target string, start_line int")
     got = {(r.source_path, r.raw_target): r.resolved_target_path for r in graph.resolve(links, notes).collect()}
     assert got == cases
+
+
+def test_costs_and_folding_of_whole_texts():
+    """Costs of a text's words come from its characters at once, and folding from a table of characters: the same as word by word."""
+    pool = ["a", "B7", "_", "-", ".", " ", "\n", "é", "ß", "Σ", "σ", "İ", "漢", "́", " ", "　", "ﬁ", "²", "​", "[[", "]]", "[", "]"]
+    for k in range(300):
+        text = "".join(pool[(k * 7 + i * i * (k % 5 + 1) + i // 3) % (len(pool) - k % 7)] for i in range(k * 2)) + "𝚺😀" * (k % 11 == 0)
+        words = text.split()
+        assert parse._costs(text, words) == [parse.estimate(w) + 1 for w in words]
+        plain = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower()
+        assert X.fold_tokens(text) == re.findall(r"[^\W_]+", plain)
+        assert [t for t, _ in parse.links(text)] == [t for t in map(str.strip, re.findall(r"\[{2}([^\]]+)\]{2}", text)) if t]
