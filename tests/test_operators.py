@@ -303,3 +303,12 @@ def test_small_files_are_few_tasks(spark, tmp_path):
     query = stream.writeStream.foreachBatch(lambda rows, n: sizes.append((rows.count(), rows.rdd.getNumPartitions()))).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert [n for n, _ in sizes] == [100] and sizes[0][1] <= 4
+
+
+def test_links_without_a_key_are_spread(spark):
+    """A link of no target, or of none beside its source, has null keys, which all met in one task of each join."""
+    links = spark.createDataFrame([(f"n{k}.md", t, k) for k in range(200) for t in ("#top", "n1", "no")], "source_path string, raw_target string, start_line int")
+    rows = graph.resolve(links, spark.createDataFrame([(f"n{k}.md",) for k in range(200)], "path string"))
+    assert {(r.raw_target, r.resolved_target_path) for r in rows.collect()} == {("#top", None), ("n1", "n1.md"), ("no", None)} and rows.count() == 600
+    shuffled = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert shuffled.count("LeftOuter") == 3 and shuffled.count("xxhash64") >= 3
