@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loomnote import api, schemas
 from loomnote.operators import build, lifecycle, search
+from loomnote.sources import vault
 
 
 def _vault(folder):
@@ -278,3 +279,14 @@ def test_names_are_dealt_in_ranges_that_stay():
     assert max(len(part) for part, _ in grown) <= 4000 and [k for _, k in grown][-4:] == [1, 2, 3, 4]
     assert [k for _, k in build.deal(names[4000:], 2, starts)] == [2, 3, 4]  # ranges without notes go
     assert {k for _, k in build.deal(names, 40, starts)} == {None} and build.deal([], 2, starts) == build.deal([], 2) == []
+
+
+def test_parts_taken_over_take_no_room(tmp_path):
+    for name in "ab":
+        (tmp_path / name).mkdir()
+    old, new = tmp_path / "a/part-000001.parquet", tmp_path / "b/part-000003.parquet"
+    old.write_bytes(b"rows")
+    vault.copy_part(str(tmp_path / "a"), 1, f"file://{tmp_path}/b", 3)
+    assert os.path.samefile(old, new)
+    old.unlink()  # an old snapshot goes
+    assert new.read_bytes() == b"rows" and [f.name for f in (tmp_path / "b").iterdir()] == [new.name]
