@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomnote import api, schemas
-from loomnote.operators import build, lifecycle, search
+from loomnote.operators import build, graph, lifecycle, notes, search
 from loomnote.sources import vault
 
 
@@ -290,3 +290,38 @@ def test_parts_taken_over_take_no_room(tmp_path):
     assert os.path.samefile(old, new)
     old.unlink()  # an old snapshot goes
     assert new.read_bytes() == b"rows" and [f.name for f in (tmp_path / "b").iterdir()] == [new.name]
+
+
+def test_edges_are_those_of_resolve(spark, tmp_path):
+    """Every link was shuffled for each of its three keys, all links of a hot target to one task; now a range looks for a key once."""
+    ends = ["", " ", "\x85", " \x85", " ", "\n", "/", "//", "/\x85", "\xa0", "\x1c", ".md", ".MD", "|x", "#y", "/ "]
+    middles = ["a", "f/a", "./f/a", "/f/a", "f//a", "././a", "f/./a", "..a", ".", "/", "./", "", " a", "\x85a", " a", "ẞ", "ΑΣ", "f\\a", "a.b", "g/ss", "\n/a", "İ", "nowhere"]
+    names = ["a.md", "A.md", "f/a.md", "f/b.md", "g/ß.md", "g/b.md", ".md", "f/..a.md", "a.b.md", "ας.md", "x\x85.md", "h\x85i/a.md", "h\x85i/c.md", "f/x.y.md", "i̇.md", ".hid.md", "\x85.md"]
+    links = "\n".join(f"[[{m}{e}]] [[{m}{e}]]" for m in middles for e in ends)
+    vault.write_files(str(tmp_path), [(n, links.encode()) for n in names] + [(f"n{k}.md", b"[[nowhere]]\n[[nowhere]]\n[[#top]]") for k in range(400)])
+    (tmp_path / "f" / "broken.md").write_bytes(b"---\nenergy: " + b"9" * 5000 + b"\n---\n[[a]]")
+    store = lifecycle.Store(spark, str(tmp_path / "index"))
+    api.build_index(spark, str(tmp_path), store.folder)
+    want = graph.distinct_edges(graph.resolve(notes.raw_links(store.table("parsed")), store.table("notes")))
+    got = store.table("edges")
+    assert got.count() > 10_000 / 2 and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    ranges = len(list((tmp_path / "index" / "runs").rglob("parsed/part*")))
+    assert store.table("keys").where("key = 'pnowhere'").count() == ranges > 2
+    api.build_index(spark, str(tmp_path), store.folder)  # taken over
+    assert sorted(map(repr, store.table("edges").collect())) == sorted(map(repr, want.collect()))
+
+
+def test_local_notes_are_listed_without_asking_for_each(tmp_path, monkeypatch):
+    """Listing asked for every file's size and time, one after the other on the driver; a local folder's names say what they are."""
+    for name in ("b.md", "a/.hidden/c.md", "a/x.txt", "a/UP.MD", "a-b/d.md", ".obsidian/no.md", "a/node_modules/no.md", "md/e.md", "dir.md/f.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    (tmp_path / "link.md").symlink_to(tmp_path / "b.md")
+    (tmp_path / "linked").symlink_to(tmp_path / "a-b")
+    (tmp_path / "gone.md").symlink_to(tmp_path / "nothing")
+    want = ["a/.hidden/c.md", "a-b/d.md", "b.md", "dir.md/f.md", "link.md", "linked/d.md", "md/e.md"]
+    with monkeypatch.context() as m:
+        m.setattr(vault, "_local_entries", lambda folder: vault._entries(vault.pafs.LocalFileSystem(), folder))
+        assert vault.note_paths(tmp_path) == want
+    monkeypatch.setattr(vault, "_entries", None)
+    assert vault.note_paths(tmp_path) == vault.note_paths(f"file://{tmp_path}/") == want and vault.note_paths(tmp_path / "none") == []

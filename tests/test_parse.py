@@ -101,3 +101,13 @@ def test_costs_and_folding_of_whole_texts():
         plain = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower()
         assert X.fold_tokens(text) == re.findall(r"[^\W_]+", plain)
         assert [t for t, _ in parse.links(text)] == [t for t in map(str.strip, re.findall(r"\[{2}([^\]]+)\]{2}", text)) if t]
+
+
+def test_tokens_stay_bytes_and_words_are_counted():
+    """Postings made a Python string of every token of every text, and a note's words were split to be counted."""
+    pool = ["a", "B7", "_", ".", " ", " ", "\n", "\x1c", "é", "ß", "Σ", "σ", "İ", "漢", "\u0301", "\u2028", "\u3000", "ﬁ", "…", "½", "Ⅷ", "Ǆ", "Å"]
+    for k in range(400):
+        text = "".join(pool[(k * 7 + i * i * (k % 5 + 1) + i // 3) % (len(pool) - k % 17)] for i in range(k * 2)) + " 𝚺😀" * (k % 11 == 0)
+        assert [t.decode() for t in X.folded(text).split(b" ") if t] == X.fold_tokens(text)
+        assert parse.word_count(text) == len(text.split())
+    assert X.folded("").split() == [] and parse.word_count("") == 0 and parse.word_count("x" * 300) == 1
