@@ -325,3 +325,24 @@ def test_local_notes_are_listed_without_asking_for_each(tmp_path, monkeypatch):
         assert vault.note_paths(tmp_path) == want
     monkeypatch.setattr(vault, "_entries", None)
     assert vault.note_paths(tmp_path) == vault.note_paths(f"file://{tmp_path}/") == want and vault.note_paths(tmp_path / "none") == []
+
+
+def test_edges_of_ranges_that_find_the_same_are_taken_over(spark, tmp_path):
+    """Each build made all edges anew; now those of a range are taken over where its notes and what its links find are as before."""
+    vault.write_files(str(tmp_path), [(f"n{k:03}.md", f"[[n{k + 1:03}]] [[new]]".encode() if k < 200 else b"[[n001]]") for k in range(400)])
+    store = lifecycle.Store(spark, str(tmp_path / "index"))
+
+    def links_of_parts() -> list[int]:
+        api.build_index(spark, str(tmp_path), store.folder)
+        want = graph.distinct_edges(graph.resolve(notes.raw_links(store.table("parsed")), store.table("notes")))
+        assert sorted(map(repr, store.table("edges").collect())) == sorted(map(repr, want.collect()))
+        return [p.stat().st_nlink for p in sorted((tmp_path / "index" / "runs" / store.current()["run"] / "edges").glob("part*"))]
+
+    assert links_of_parts() == [1] * 4 and links_of_parts() == [2] * 4
+    (tmp_path / "n399a.md").write_text("x")  # no link finds it
+    again = links_of_parts()
+    assert again[-1] == 1 and min(again[:3]) > 1
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "new.md").write_text("x")  # in the first range by its path; half of all notes name it
+    last = links_of_parts()
+    assert last[:2] == [1, 1] and last[2] > 1
